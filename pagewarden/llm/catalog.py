@@ -2,19 +2,99 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from pagewarden.llm import simhash
+from pagewarden.llm import bpe, decontaminate, line_dedup, simhash
 from pagewarden.llm.common import table
 
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its own name, with its oracle SQL when there is one."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+@query(
+    r"""
+    WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+    w AS (
+      SELECT doc_id, i, ls[i] || chr(10) || ls[i + 1] || chr(10) || ls[i + 2] AS s
+      FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM l)
+    ),
+    later AS (
+      SELECT doc_id, i FROM (
+        SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k
+        FROM w WHERE regexp_matches(s, '[^\x20\x09-\x0D]')
+      ) WHERE k > 1
+    ),
+    covered AS (SELECT DISTINCT doc_id, i + k AS i FROM later, (VALUES (0), (1), (2)) t(k)),
+    kept AS (
+      SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n
+      FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM l) ANTI JOIN covered USING (doc_id, i)
+      GROUP BY doc_id
+    )
+    SELECT d.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, (coalesce(len(ls), 0) - coalesce(n, 0))::BIGINT AS n_removed,
+      CASE WHEN d.text IS NOT NULL THEN md5(coalesce(kept.text, '')) END AS text_md5
+    FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """
+)
+def op1_line_dedup(spark, sf_dir):
+    """Lines of every document, how many are later occurrences, and the digest of the text without them."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
 
+@query(
+    r"""
+    WITH d AS (
+      SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+    ),
+    b AS (
+      SELECT item_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark
+    ),
+    ds AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+    bs AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM b)),
+    n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id)
+    SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*)::DOUBLE / n_shingles AS containment
+    FROM bs JOIN n USING (item_id) JOIN ds USING (s)
+    GROUP BY doc_id, item_id, n_shingles
+    HAVING count(*) >= 0.8 * n_shingles
+    """
+)
+def op4_benchmark_decontamination(spark, sf_dir):
+    """Documents that contain a benchmark item to 0.8 or more of its shingles."""
+    found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    share = F.col("n_shared").cast("double") / F.col("n_shingles")
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_shingles", "n_shared", share.alias("containment"))
+
+
+@query()
+def op8_byte_bpe(spark, sf_dir):
+    """Token count and digests of the ids and of the decoded bytes of every document."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.id_bytes(path, F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(path, F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
+@query()
 def op10_simhash_near_dedup(spark, sf_dir):
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id")
     )
-
-
-QUERIES = {"op10_simhash_near_dedup": op10_simhash_near_dedup}
-ORACLE_SQL: dict[str, str] = {}
