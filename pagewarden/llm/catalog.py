@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pagewarden.llm import bpe, decontaminate, line_dedup, simhash
-from pagewarden.llm.common import table
+from pagewarden.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from pagewarden.llm.common import remainder, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -98,3 +98,18 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return found.select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id")
     )
+
+
+@query()
+def op5_toxicity(spark, sf_dir):
+    """Toxicity of every document, learnt from the labels of rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    learn = labels.where(remainder(F.col("doc_id"), 4) != 2)
+    model = toxicity.train(docs.join(learn, "doc_id").select(F.col("doc_id").alias("id"), "text", "label"))
+    return toxicity.scores(docs, model).select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(remainder(F.col("id"), 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
