@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pagewarden.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from pagewarden.llm import bpe, decontaminate, langid, line_dedup, simhash, toxicity
 from pagewarden.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -113,3 +113,22 @@ def op5_toxicity(spark, sf_dir):
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+def language_model(docs):
+    """The model that op6 and the pipeline use: learnt from rows that aren't held out."""
+    learn = docs.where((remainder(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull())
+    return langid.train(learn.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("label")))
+
+
+@query()
+def op6_language_id(spark, sf_dir):
+    """The languages of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, language_model(docs)).select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(remainder(F.col("id"), 5) == 0, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+        F.array_join("langs", " ").alias("langs"),
+    )
