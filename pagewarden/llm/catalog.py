@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pagewarden.llm import bpe, decontaminate, langid, line_dedup, simhash, toxicity
+from pagewarden.llm import bpe, decontaminate, langid, line_dedup, quality, simhash, toxicity
 from pagewarden.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -132,3 +132,68 @@ def op6_language_id(spark, sf_dir):
         "score",
         F.array_join("langs", " ").alias("langs"),
     )
+
+
+def op7_sql() -> str:
+    """Base counts by plain SQL, and the thresholds by the exact binomial distribution."""
+    rules = " UNION ALL ".join(f"SELECT '{r}' AS rule, {i} AS step, {c}::DOUBLE AS cutoff" for r, v in quality.CUTOFFS.items() for i, c in enumerate(v))
+    scores = {
+        "symbols": "n_symbols::DOUBLE / greatest(n_words, 1)",
+        "dup_lines": "n_dup_lines::DOUBLE / greatest(n_lines, 1)",
+        "repeats": "n_repeat_words::DOUBLE / greatest(n_words, 1)",
+        "long_words": "word_chars::DOUBLE / greatest(n_words, 1)",
+        "short_words": "-(word_chars::DOUBLE / greatest(n_words, 1))",
+    }
+    score = "CASE rule " + " ".join(f"WHEN '{r}' THEN {s}" for r, s in scores.items()) + " END"
+    rate, n_rules = quality.ALPHA / len(scores), len(scores)
+    return rf"""
+    WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT doc_id, stratum, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM t),
+    l AS (
+      SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+      FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+    ),
+    g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+    r AS (
+      SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+      FROM (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM g) WHERE n > 1), range(0, 8) x(k)
+      GROUP BY doc_id
+    ),
+    c AS (
+      SELECT doc_id, stratum, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+        len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_lines, 0)::BIGINT AS n_lines,
+        coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)
+    ),
+    b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
+    good AS (
+      SELECT * FROM b WHERE NOT base_failed
+      AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)
+    ),
+    rules AS ({rules}),
+    tests AS (
+      SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER ({score} > cutoff) AS k, (SELECT count(DISTINCT stratum) FROM good) AS strata
+      FROM good, rules GROUP BY stratum, rule, step, cutoff
+    ),
+    tails AS (
+      SELECT stratum, rule, step, cutoff, strata,
+        CASE WHEN k > n * {rate!r} THEN 1 ELSE
+          list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate!r}) + (n - i) * ln(1 - {rate!r}))))
+        END AS p
+      FROM tests
+    ),
+    chosen AS (SELECT stratum, rule, max_by(cutoff, step) AS cutoff FROM tails WHERE p <= {quality.DELTA!r} / ({n_rules}.0 * strata) GROUP BY stratum, rule),
+    failed AS (SELECT DISTINCT doc_id FROM b JOIN chosen USING (stratum) WHERE {score} > cutoff)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM failed) AS kept
+    FROM b
+    """
+
+
+@query(op7_sql())
+def op7_quality_rules(spark, sf_dir):
+    """Base counts and verdict of every document."""
+    found = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
