@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pagewarden.llm import bpe, decontaminate, langid, line_dedup, quality, simhash, toxicity
+from pagewarden.llm import bpe, decontaminate, langid, line_dedup, quality, simhash, toxicity, warc
 from pagewarden.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -197,3 +197,15 @@ def op7_quality_rules(spark, sf_dir):
     return found.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+def page_of(column: str):
+    return F.regexp_extract(column, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+
+
+@query()
+def op9_warc(spark, sf_dir):
+    """The records of all pages, read back from the archives that were written."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).where("reason is null").select(
+        page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to")
+    )
