@@ -1,26 +1,37 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding.
 
-Texts are cut into words by the tokenizer's pattern; every distinct word is encoded once. A word starts as an
-array of single bytes, and an ``aggregate`` over it merges, step by step, the leftmost adjacent pair of lowest
-rank. Ranks come from a literal: an array of hash buckets of (piece, rank), so a lookup costs the same at any
-vocabulary size. Decoding concatenates the binary pieces of the ids.
+Texts are cut into words by the tokenizer's pattern. Each task encodes a distinct word once: the word starts
+as single bytes, and the leftmost adjacent pair of lowest rank is merged until no pair has a rank. The ranks
+are a literal map sent to all executors (its size is the vocabulary's). Decoding concatenates the binary
+pieces of the ids. What a task remembers is bounded by ``REMEMBERED`` words.
 
-Defined results: null is encoded like the empty text, to no ids. Special tokens are ordinary text. Extra
-columns are ignored; repeated rows and ids get a row each.
+``native_ids`` is the same fold in Spark's higher-order functions, for tables of words; the README says why
+whole corpora don't go through it.
+
+Ids are kept as little-endian unsigned 32-bit integers in a binary column. Defined results: null is encoded
+like the empty text, to no ids. Special tokens are ordinary text. Extra columns are ignored; repeated rows
+and ids get a row each.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import zlib
+from array import array
 from functools import cache
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import stored
+from pagewarden.llm.common import bounded_batches
 
+REMEMBERED = 1 << 18
+#: Words of more bytes are merged with a heap.
+LONG = 64
 BUCKETS = 1 << 15
 
 
@@ -31,75 +42,135 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def literal(value, kind: str) -> Column:
-    """A nested constant; binary values are given in base64. Catalyst folds it into one literal."""
-    return F.from_json(F.lit(json.dumps(value)), kind)
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The pieces of a word."""
+    if word in ranks:
+        return [word]
+    if len(word) > LONG:
+        return merge_long(word, ranks)
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while len(parts) > 1:
+        best, at = None, 0
+        for i, pair in enumerate(zip(parts, parts[1:])):
+            r = ranks.get(pair[0] + pair[1])
+            if r is not None and (best is None or r < best):
+                best, at = r, i
+        if best is None:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The same in n log n steps: a heap of pairs over a linked list of pieces."""
+    n = len(word)
+    ends, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < n and (r := ranks.get(word[i : ends[j]])) is not None:
+            heapq.heappush(heap, (r, i, ends[j]))
+
+    for i in range(n):
+        offer(i)
+    alive = [True] * n
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        j = after[i] if alive[i] else n
+        if j < n and ends[j] == end:
+            ends[i], after[i], alive[j] = end, after[j], False
+            if after[i] < n:
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+    return [word[i : ends[i]] for i in range(n) if alive[i]]
+
+
+class Codec:
+    """Encodes and decodes with the ranks of a vocabulary."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks = ranks
+        self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.pieces = {r: p for p, r in ranks.items()}
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, text: str | None) -> bytes:
+        known, words = self.known, self.words(text or "")
+        new = set(words).difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = set(words)
+        for w in new:
+            known[w] = array("I", [self.ranks[p] for p in merge(w.encode(), self.ranks)]).tobytes()
+        return b"".join(map(known.__getitem__, words))
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, array("I", ids)))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, ids) per row; and the bytes that decoding the ids gives, if asked for."""
+    bounded_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(ranks_of(path))
+
+    def coded(batches):
+        codec = Codec(sent.value, pattern)
+        for batch in batches:
+            ids = [codec.encode(t.as_py()) for t in batch.column(1)]
+            columns = [batch.column(0), pa.array(ids, pa.binary())]
+            if decoded:
+                columns.append(pa.array(map(codec.decode, ids), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(coded, "id long, ids binary" + ", decoded binary" * decoded)
+
+
+def decode(rows: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
+    """(id, decoded) per row of ids; null ids decode to nothing."""
+    bounded_batches(rows.sparkSession)
+    sent = rows.sparkSession.sparkContext.broadcast(ranks_of(path))
+
+    def pieced(batches):
+        codec = Codec(sent.value, "x")
+        for batch in batches:
+            found = pa.array([codec.decode(x.as_py() or b"") for x in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["id", "decoded"])
+
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).mapInArrow(pieced, "id long, decoded binary")
 
 
 def rank_buckets(path: str) -> Column:
+    """The ranks as one literal that Catalyst folds: an array of hash buckets of (piece, rank)."""
     buckets: list[list] = [[] for _ in range(BUCKETS)]
     for piece, rank in ranks_of(path).items():
         buckets[zlib.crc32(piece) % BUCKETS].append({"p": base64.b64encode(piece).decode(), "r": rank})
-    return literal(buckets, "array<array<struct<p:binary,r:int>>>")
-
+    return F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<p:binary,r:int>>>")
 
-def rank(buckets: Column, piece: Column) -> Column:
-    found = F.filter(F.get(buckets, (F.crc32(piece) % BUCKETS).cast("int")), lambda e: e["p"] == piece)
-    return F.get(found, F.lit(0))["r"]
 
+def native_ids(word: Column, path: str) -> Column:
+    """The ids of a word, an array of integers, in higher-order functions alone."""
+    buckets, word = rank_buckets(path), word.cast("binary")
 
-def fold(buckets: Column, word: Column) -> Column:
-    """The pieces of a word (binary), as an array of binaries."""
-    single = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
-    joined = lambda s, i: F.concat(F.get(s["parts"], i), F.get(s["parts"], i + 1))
+    def rank(piece: Column) -> Column:
+        found = F.filter(F.get(buckets, (F.crc32(piece) % BUCKETS).cast("int")), lambda e: e["p"] == piece)
+        return F.get(found, F.lit(0))["r"]
 
     def ranked(parts: Column) -> Column:
-        return F.transform(
-            F.when(F.size(parts) > 1, F.sequence(F.lit(0), F.size(parts) - 2)).otherwise(F.array().cast("array<int>")),
-            lambda i: rank(buckets, F.concat(F.get(parts, i), F.get(parts, i + 1))),
-        )
+        places = F.when(F.size(parts) > 1, F.sequence(F.lit(0), F.size(parts) - 2)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: rank(F.concat(F.get(parts, i), F.get(parts, i + 1))))
 
-    def merge(state: Column, _: Column) -> Column:
+    def step(state: Column, _: Column) -> Column:
         best = F.array_min(state["ranks"])
         at = F.array_position(state["ranks"], best).cast("int") - 1
-        parts = F.concat(
-            F.slice(state["parts"], 1, at), F.array(joined(state, at)), F.slice(state["parts"], at + 3, F.size(state["parts"]))
-        )
+        joined = F.concat(F.get(state["parts"], at), F.get(state["parts"], at + 1))
+        parts = F.concat(F.slice(state["parts"], 1, at), F.array(joined), F.slice(state["parts"], at + 3, F.size(state["parts"])))
         return F.when(best.isNull(), state).otherwise(F.struct(parts.alias("parts"), ranked(parts).alias("ranks")))
 
+    single = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
     start = F.struct(single.alias("parts"), ranked(single).alias("ranks"))
-    return F.when(F.length(word) > 0, F.aggregate(single, start, merge, lambda s: s["parts"]))
-
-
-def encode_words(words: DataFrame, path: str, word_col: str = "word") -> DataFrame:
-    """(word, ids): the ids of each word of a table of words."""
-    buckets = rank_buckets(path)
-    pieces = fold(buckets, F.col(word_col).cast("binary"))
-    return words.select(F.col(word_col).alias("word"), F.transform(pieces, lambda p: rank(buckets, p)).alias("ids"))
-
-
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) per row. The pattern is read with Unicode classes."""
-    rows = stored(
-        docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(text_col, F.lit("")).alias("text")), "rows"
-    )
-    words = F.regexp_extract_all("text", F.lit("(?U)" + pattern), F.lit(0))
-    tokens = rows.select("row", F.posexplode(words).alias("pos", "word"))
-    known = stored(encode_words(tokens.select("word").distinct(), path), "words")
-    found = tokens.join(known.hint("merge"), "word").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("found"))
-    ids = F.coalesce(F.flatten(F.transform("found", lambda x: x["ids"])), F.array().cast("array<int>"))
-    return rows.join(found, "row", "left").select("id", ids.alias("ids"))
-
-
-def decode(path: str, ids: Column) -> Column:
-    """The bytes of an array of ids."""
-    pieces = {r: base64.b64encode(p).decode() for p, r in ranks_of(path).items()}
-    table = literal([pieces.get(i, "") for i in range(max(pieces) + 1)], "array<binary>")
-    return F.array_join(F.transform(ids, lambda i: F.get(table, i).cast("string")), "").cast("binary")
-
-
-def id_bytes(path: str, ids: Column) -> Column:
-    """Ids as little-endian unsigned 32-bit integers."""
-    n = max(ranks_of(path).values()) + 1
-    table = literal([base64.b64encode(i.to_bytes(4, "little")).decode() for i in range(n)], "array<binary>")
-    return F.array_join(F.transform(ids, lambda i: F.get(table, i).cast("string")), "").cast("binary")
+    pieces = F.aggregate(single, start, step, lambda s: s["parts"])
+    return F.when(F.length(word) > 0, F.transform(pieces, rank)).otherwise(F.array().cast("array<int>"))

@@ -82,12 +82,12 @@ def op4_benchmark_decontamination(spark, sf_dir):
 def op8_byte_bpe(spark, sf_dir):
     """Token count and digests of the ids and of the decoded bytes of every document."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    found = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    found = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True)
     return found.select(
         F.col("id").alias("doc_id"),
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(bpe.id_bytes(path, F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(path, F.col("ids")), 256).alias("decoded_sha256"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
