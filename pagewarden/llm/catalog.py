@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pagewarden.llm import bpe, decontaminate, langid, line_dedup, quality, simhash, toxicity, warc
+from pagewarden.llm import bpe, decontaminate, langid, line_dedup, quality, simhash, toxicity, urlfilter, warc
 from pagewarden.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -209,3 +209,13 @@ def op9_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages")).where("reason is null").select(
         page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to")
     )
+
+
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+@query()
+def op3_url_filters(spark, sf_dir):
+    """The verdict on the url of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, URL_RULES, urlfilter.train(pages)).withColumnRenamed("id", "page_id")
