@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from pagewarden.llm import bpe, decontaminate, langid, line_dedup, quality, simhash, toxicity, urlfilter, warc
+from pagewarden.llm import bpe, decontaminate, langid, line_dedup, lmscore, quality, simhash, toxicity, urlfilter, warc
 from pagewarden.llm.common import remainder, table
 
 QUERIES: dict = {}
@@ -219,3 +219,10 @@ def op3_url_filters(spark, sf_dir):
     """The verdict on the url of every page."""
     pages = table(spark, sf_dir, "pages")
     return urlfilter.judge(pages, URL_RULES, urlfilter.train(pages)).withColumnRenamed("id", "page_id")
+
+
+@query()
+def op2_lm_scoring(spark, sf_dir):
+    """Losses of every document under models of good documents and of the corpus, and their difference."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lmscore.score(table(spark, sf_dir, "documents"), good).withColumnRenamed("id", "doc_id")
