@@ -104,9 +104,8 @@ def op10_simhash_near_dedup(spark, sf_dir):
 def op5_toxicity(spark, sf_dir):
     """Toxicity of every document, learnt from the labels of rows that aren't held out."""
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    learn = labels.where(remainder(F.col("doc_id"), 4) != 2)
-    model = toxicity.train(docs.join(learn, "doc_id").select(F.col("doc_id").alias("id"), "text", "label"))
+    learn = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 4) != 2)
+    model = toxicity.train(docs.select(F.col("doc_id").alias("id"), "text"), learn.select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")))
     return toxicity.scores(docs, model).select(
         F.col("id").alias("doc_id"),
         F.coalesce(remainder(F.col("id"), 4) == 2, F.lit(False)).alias("held_out"),

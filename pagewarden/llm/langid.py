@@ -120,7 +120,7 @@ def fit(sample: list[tuple]) -> Model:
 
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model:
     """A model of a table (id, text, label)."""
-    return fit(labelled_sample(labelled, rows, size))
+    return fit(labelled_sample(labelled.select("id", "text"), labelled.select("id", "label"), rows, size))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,23 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def labelled_sample(rows: DataFrame, rows_per_label: int, bytes_per_label: int) -> list[tuple]:
-    """(id, text, label) of a sample of a table (id, text, label).
+#: Only the share of each label's rows that holds so many times the wanted rows is ranked, whatever the input's size.
+SPARE = 4
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int, bytes_per_label: int) -> list[tuple]:
+    """(id, text, label) of a sample of documents (id, text) with labels (id, label).
 
     Of each label come the first ``rows_per_label`` rows by the hash of their id, as far as their whole texts
-    fit into ``bytes_per_label`` (a longer one is passed over). Only keys and lengths are ranked; texts are
-    fetched for the chosen rows alone. Null ids, texts or labels are never chosen.
+    fit into ``bytes_per_label`` (a longer one is passed over). Only keys and lengths are joined and ranked;
+    texts are fetched for the chosen rows alone. Null ids, texts or labels are never chosen; of several labels
+    of an id the largest holds.
     """
-    rows = rows.where("id is not null and text is not null and label is not null")
-    ranked = rows.select("id", "label", F.octet_length("text").alias("size"), F.xxhash64(F.col("id").cast("string"), F.lit("sample")).alias("h"))
+    keys = docs.select("id", F.octet_length("text").alias("size")).where("id is not null and size is not null")
+    labels = labels.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
+    labels = labels.withColumn("h", F.xxhash64(F.col("id").cast("string"), F.lit("sample")))
+    share = labels.groupBy("label").agg((F.lit(float(SPARE * rows_per_label)) / F.count("*")).alias("share"))
+    drawn = labels.join(F.broadcast(share), "label").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    ranked = keys.join(drawn, "id")
     first = Window.partitionBy("label").orderBy("h", "id", "size")
-    chosen, held = [], {}
+    chosen, held = {}, {}
     for r in ranked.withColumn("k", F.row_number().over(first)).where(F.col("k") <= rows_per_label).orderBy("label", "k").collect():
         if held.get(r.label, 0) + r.size <= bytes_per_label:
             held[r.label] = held.get(r.label, 0) + r.size
-            chosen.append((r.id, r.size))
+            chosen[r.id, r.size] = r.label
     if not chosen:
         return []
-    keys = F.broadcast(rows.sparkSession.createDataFrame(sorted(set(chosen)), "id long, size int"))
-    found = rows.withColumn("size", F.octet_length("text")).join(keys, ["id", "size"], "left_semi").select("id", "text", "label").distinct()
-    return sorted(map(tuple, found.collect()), key=lambda r: (str(r[2]), r[0], r[1]))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(sorted(chosen), "id long, size int"))
+    texts = docs.select("id", "text", F.octet_length("text").alias("size")).join(wanted, ["id", "size"], "left_semi").distinct()
+    found = [(r.id, r.text, chosen[r.id, r.size]) for r in texts.collect()]
+    return sorted(found, key=lambda r: (str(r[2]), r[0], r[1]))

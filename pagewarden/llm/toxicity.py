@@ -179,10 +179,10 @@ def fit(sample: list[tuple], toxic_share: float | None = None) -> Model:
     return model
 
 
-def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model:
-    """A model of a table (id, text, label)."""
-    n, toxic = labelled.where("label is not null").agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    return fit(labelled_sample(labelled, rows, size), (toxic + 0.5) / (n + 1))
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model:
+    """A model of documents (id, text) and labels (id, label)."""
+    n, toxic = labels.where("label is not null").agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    return fit(labelled_sample(docs, labels, rows, size), (toxic + 0.5) / (n + 1))
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
