@@ -65,3 +65,29 @@ def fresh(df: DataFrame, base: str) -> str:
 def remainder(column: Column, divisor: int) -> Column:
     """crc32 of the value as text, modulo a divisor; null for null."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(divisor))
+
+
+def filter_rows(docs: DataFrame, text_col: str, sent, keeps) -> DataFrame:
+    """The rows whose text passes ``keeps(value)``, a function that makes a predicate of a broadcast value.
+
+    Rows go through Arrow with all of their columns, so nothing is joined or shuffled.
+    """
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def filtered(batches):
+        import pyarrow as pa
+
+        keep = keeps(sent.value)
+        for batch in batches:
+            yield batch.filter(pa.array([keep(t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(filtered, docs.schema)
+
+
+def without(docs: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """The rows whose value isn't in a stored one-column table; rows with a null stay."""
+    gone = gone.toDF("_gone")
+    if gone.count() * 16 <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[column] == gone["_gone"], "left_anti")

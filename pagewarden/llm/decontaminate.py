@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import bounded_batches
+from pagewarden.llm.common import bounded_batches, filter_rows
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -143,3 +143,18 @@ def contained_items(
         part = rows.mapInArrow(search, "id long, item long, n_shingles long, n_shared long")
         found = part if found is None else found.unionAll(part)
     return found
+
+
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    size: int = SIZE, threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The rows that contain no item, with all columns; each block of items filters in turn."""
+
+    def keeps(block):
+        index, hasher = Index(block, size, threshold), Hasher(size)
+        return lambda text: next(index.search(text, hasher), None) is None
+
+    for block in blocks(items, item_col, item_text_col):
+        docs = filter_rows(docs, text_col, docs.sparkSession.sparkContext.broadcast(block), keeps)
+    return docs

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import bounded_batches
+from pagewarden.llm.common import bounded_batches, filter_rows
 from pagewarden.llm.sampling import labelled_sample
 
 SAMPLE_ROWS = 400
@@ -141,3 +141,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(judged, "id long, lang_pred string, score double, langs array<string>")
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows whose text has a language that makes up at least so much of it, with all columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_rows(docs, text_col, sent, lambda m: lambda text: max(m.languages_of(text).values(), default=0.0) >= least)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import bounded_batches, stored
+from pagewarden.llm.common import bounded_batches, stored, without
 
 SEED = 42
 BITS = 64
@@ -121,3 +121,17 @@ def near_duplicates(
     roots = components(edges.where("a is not null and b is not null").union(repeated))
     labelled = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
     return fps.join(labelled, "fp").select("id", "fp", "component")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of each component, that of the smallest id, with all columns.
+
+    Of rows that repeat an id one stays. Rows with a null id are never dropped.
+    """
+    found = stored(near_duplicates(docs, id_col, text_col, **how).where("id is not null"), "components")
+    left = without(docs, id_col, stored(found.where("id <> component").select("id").distinct(), "gone"))
+    repeated = stored(found.groupBy("id").count().where("count > 1").select("id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    again = repeated.toDF("_again")
+    return without(left, id_col, repeated).unionByName(left.join(again, left[id_col] == again["_again"], "left_semi").dropDuplicates([id_col]))
