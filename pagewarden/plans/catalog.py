@@ -1,20 +1,34 @@
-"""The engine's own queries, with the SQL that an independent database must agree with."""
+"""The engine's own queries over the test tables, with the SQL that an independent database must agree with.
+
+The test tables are in four European languages, so the queries use a dictionary and domain lists of their
+own; both are parameters of the engine.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pagewarden.functions import contacts, domains, matching, urls
+from pagewarden.functions.charmap import CharMap
+from pagewarden.functions.dictionary import Keyword
+from pagewarden.functions.matching import Matcher
+from pagewarden.operators import cloaking, evidence, frontier, screens
+from pagewarden.plans import detect
+from pagewarden.sources import html as html_source
+from pagewarden.streaming import jobs
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a (spark, sf_dir) function under a name, with its oracle SQL when there is one."""
+def query(sql: str | None = None):
+    """Register a (spark, sf_dir) function under its name, with its oracle SQL when there is one."""
 
     def put(f):
-        QUERIES[name] = f
+        QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[name] = sql
+            ORACLE_SQL[f.__name__] = sql
         return f
 
     return put
@@ -24,11 +38,483 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+WORDS = [
+    Keyword("worthless", "insult", 3, latin=True), Keyword("worth", "praise", 1, latin=True), Keyword("idiot", "insult", 3, latin=True),
+    Keyword("stupid", "insult", 2, latin=True), Keyword("license", "legal", 1, latin=True), Keyword("token", "secret", 2, latin=True),
+    Keyword("trash", "insult", 2, latin=True),
+]
+TRUSTED = ["example.org", "tionsh.example.net"]
+PARTS, HOST_WORDS = {"gambling": "casino", "spam": "farm"}, {"gambling": "bets", "adult": "adult"}
+
+HOST_SQL = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)', 1))"
+PATH_SQL = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+QUERY_SQL = "regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)"
+
+
+def counted(word: str) -> str:
+    """SQL: how often a word stands in text, not after a letter."""
+    return f"len(regexp_extract_all(lower(text), '(?:^|[^a-z]){word}'))"
+
+
+#: SQL: occurrences that no longer word covers.
+COUNTS_SQL = {k.word: counted(k.word) for k in WORDS} | {"worth": f"({counted('worth')} - {counted('worthless')})"}
+WORDS_SQL = "(VALUES " + ", ".join(f"('{k.word}', '{k.category}', {k.weight}, {i})" for i, k in enumerate(WORDS)) + ") k(word, category, weight, ord)"
+COUNT_SQL = "CASE word " + " ".join(f"WHEN '{w}' THEN {s}" for w, s in COUNTS_SQL.items()) + " END"
+
+
+@query(f"SELECT page_id, regexp_extract(lower(url), '^([a-z]+):', 1) AS scheme, {HOST_SQL} AS host, {PATH_SQL} AS path, {QUERY_SQL} AS query FROM pages")
+def url_parts(spark, sf_dir):
+    scheme = F.regexp_extract(F.lower("url"), "^([a-z]+):", 1)
+    return table(spark, sf_dir, "pages").select(
+        "page_id", scheme.alias("scheme"), urls.host("url").alias("host"), urls.path("url").alias("path"), urls.query("url").alias("query")
+    )
+
+
+@query(
+    f"""SELECT page_id, regexp_extract(lower(url), '^([a-z]+):', 1) || '://' || {HOST_SQL} || CASE WHEN {PATH_SQL} = '' THEN '/' ELSE {PATH_SQL} END
+        || CASE WHEN {QUERY_SQL} = '' THEN '' ELSE '?' || {QUERY_SQL} END AS normalized FROM pages"""
+)
+def url_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.normalized("url").alias("normalized"))
+
+
+@query(
+    f"""SELECT page_id, NOT list_contains(string_split('{" ".join(urls.SKIPPED_ENDINGS)}', ' '), regexp_extract(lower({PATH_SQL}), '\\.([^./]*)$', 1)) AS crawlable,
+        NOT regexp_matches(url_decode(url), '(?i){urls.UNSAFE}') AS safe, regexp_matches(url, '{urls.HEAVY}') AS heavy,
+        regexp_matches({PATH_SQL}, '{urls.FEED}') AS feed FROM pages"""
+)
+def url_flags(spark, sf_dir):
+    flags = {"crawlable": urls.crawlable("url"), "safe": urls.safe("url"), "heavy": urls.heavy("url"), "feed": urls.feed("url")}
+    return table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in flags.items()])
+
+
+@query(
+    f"""SELECT page_id, url_decode(replace(split_part(p, '=', 1), '+', ' ')) AS name, url_decode(replace(split_part(p, '=', 2), '+', ' ')) AS value
+        FROM (SELECT page_id, unnest(string_split({QUERY_SQL}, '&')) AS p FROM pages) WHERE split_part(p, '=', 2) <> ''"""
+)
+def url_params_explode(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.inline(urls.params("url")))
+
+
+@query(
+    f"""SELECT name, count(*) AS n, lower(name) IN ('{"', '".join(urls.SEARCH_NAMES)}') OR regexp_matches(lower(name), '{urls.SEARCH_PARTS}') AS is_search
+        FROM (SELECT split_part(unnest(string_split({QUERY_SQL}, '&')), '=', 1) AS name FROM pages) WHERE name <> '' GROUP BY 1"""
+)
+def search_params(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(F.inline(urls.params("url")))
+    return rows.groupBy("name").agg(F.count("*").alias("n")).withColumn("is_search", urls.search_param(F.col("name")))
+
+
+@query(f"SELECT regexp_extract({HOST_SQL}, '([^.]+\\.[^.]+)$', 1) AS site, count(*) AS n_pages, count(DISTINCT {HOST_SQL}) AS n_hosts FROM pages GROUP BY 1")
+def host_rollup(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(urls.host("url").alias("host"))
+    return rows.groupBy(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("site")).agg(F.count("*").alias("n_pages"), F.countDistinct("host").alias("n_hosts"))
+
+
+@query(
+    f"""SELECT page_id, {HOST_SQL} AS host FROM pages
+        WHERE {" OR ".join(f"{HOST_SQL} = '{d}' OR {HOST_SQL} LIKE '%.{d}'" for d in TRUSTED)}"""
+)
+def whitelist_semi(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", urls.host("url").alias("host"))
+    return rows.where(urls.listed(F.col("host"), TRUSTED))
+
+
+@query(
+    f"""SELECT page_id, host, CASE WHEN host LIKE '%casino%' THEN 'gambling' WHEN host LIKE '%farm%' THEN 'spam'
+        WHEN list_contains(tokens, 'bets') THEN 'gambling' WHEN list_contains(tokens, 'adult') THEN 'adult' END AS category
+        FROM (SELECT page_id, {HOST_SQL} AS host, regexp_split_to_array(regexp_replace({HOST_SQL}, '[0-9]+', '', 'g'), '[.\\-_]') AS tokens FROM pages)
+        WHERE category IS NOT NULL"""
+)
+def suspicious_hosts(spark, sf_dir):
+    host = urls.host("url")
+    rows = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), domains.suspicion(host, PARTS, HOST_WORDS).alias("category"))
+    return rows.where("category is not null")
+
+
+@query(
+    f"""SELECT a.page_id, h = s OR (h <> '' AND (h = regexp_replace(s, '^www\\.', '') OR h LIKE '%.' || regexp_replace(s, '^www\\.', ''))) AS same_site
+        FROM (SELECT page_id, {HOST_SQL} AS h FROM pages) a, (SELECT regexp_replace({HOST_SQL}, '^(m|www|blog)\\.', '') AS s FROM pages WHERE page_id = 0) b"""
+)
+def same_site_flags(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    seed = pages.where("page_id = 0").select(F.regexp_replace(urls.host("url"), r"^(m|www|blog)\.", "").alias("s"))
+    return pages.select("page_id", urls.host("url").alias("h")).crossJoin(F.broadcast(seed)).select("page_id", urls.same_site(F.col("h"), F.col("s")).alias("same_site"))
+
+
+@query(
+    """SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
+        '\\s+', ' ', 'g')) AS title FROM pages"""
+)
+def html_title(spark, sf_dir):
+    return html_source.pages_from_html(table(spark, sf_dir, "pages")).select("page_id", "title")
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS raw_href FROM pages")
+def html_links(spark, sf_dir):
+    rows = html_source.pages_from_html(table(spark, sf_dir, "pages")).select("page_id", F.explode("elements").alias("e"))
+    return rows.where("e.type = 'link'").select("page_id", F.col("e.raw_href").alias("raw_href"))
+
+
+@query(
+    f"""SELECT {HOST_SQL} AS host, count(*) AS n_links
+        FROM (SELECT url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS raw_href FROM pages) GROUP BY 1"""
+)
+def link_host_counts(spark, sf_dir):
+    """Hosts that resolved links lead to; the links of the test pages are relative to their own host."""
+    rows = html_source.pages_from_html(table(spark, sf_dir, "pages")).select(F.explode("elements").alias("e")).where("e.type = 'link'")
+    return rows.groupBy(urls.host("e.href").alias("host")).agg(F.count("*").alias("n_links"))
+
+
+@query()
+def html_elements(spark, sf_dir):
+    """How many records of each type every page gives."""
+    rows = html_source.pages_from_html(table(spark, sf_dir, "pages")).select("page_id", F.explode("elements").alias("e"))
+    return rows.groupBy("page_id", F.col("e.type").alias("type")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
+       e AS (SELECT page_id AS url, (page_id * 7 + 3) % n AS next FROM pages, n UNION SELECT page_id, (page_id * 3 + 1) % n FROM pages, n),
+       r AS (SELECT 0::BIGINT AS url, 0 AS depth UNION SELECT e.next, r.depth + 1 FROM r JOIN e USING (url) WHERE r.depth < 6)
+       SELECT url, min(depth) AS depth FROM r GROUP BY url"""
+)
+def bfs_depth(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    n = F.broadcast(pages.agg(F.count("*").alias("n")))
+    steps = F.array(F.pmod(F.col("page_id") * 7 + 3, "n"), F.pmod(F.col("page_id") * 3 + 1, "n"))
+    edges = pages.crossJoin(n).select(F.col("page_id").alias("url"), F.explode(steps).alias("next"))
+    return frontier.reachable(spark.range(1).toDF("url"), edges, 6)
+
+
+@query(f"SELECT doc_id, word, {COUNT_SQL}::BIGINT AS n FROM documents, {WORDS_SQL} WHERE n > 0")
+def keyword_hits(spark, sf_dir):
+    """Native counts of each dictionary word; words inside longer ones aren't counted."""
+    pattern = {k.word: "(?i)" + k.source + ("(?!less)" if k.word == "worth" else "") for k in WORDS}
+    counts = F.array(*[F.struct(F.lit(w).alias("word"), F.regexp_count("text", F.lit(p)).cast("long").alias("n")) for w, p in pattern.items()])
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(F.filter(counts, lambda c: c["n"] > 0)))
+
+
+@query(f"SELECT doc_id, word, {COUNT_SQL}::BIGINT AS n FROM documents, {WORDS_SQL} WHERE n > 0")
+def keyword_span_cover(spark, sf_dir):
+    """The same through the matcher, which drops spans that lie in earlier ones."""
+    spans = matching.spans(Matcher(WORDS), F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(spans).alias("s"))
+    return rows.groupBy("doc_id", F.col("s.word").alias("word")).agg(F.count("*").alias("n"))
+
+
+@query()
+def variant_hits(spark, sf_dir):
+    """Hits of the matcher in text disguised with full-width letters."""
+    wide = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "".join(chr(0xFF41 + i) for i in range(26)))
+    hits = matching.hits(Matcher(WORDS), wide)
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.word", "h.method", "h.weight")
+
+
+@query("SELECT doc_id, text AS normalized FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+def normalized_text(spark, sf_dir):
+    """Full-width letters read back; plain text stays as it is."""
+    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    wide = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "".join(chr(0xFF41 + i) for i in range(26)))
+    return rows.select("doc_id", matching.normalized(Matcher(WORDS, CharMap()), wide).alias("normalized"))
+
+
+PHONE_SQL = "01[016789][-.\\s]?[0-9]{3,4}[-.\\s]?[0-9]{4}"
+
+
+@query(
+    f"""SELECT doc_id, 'contact' AS kind, trim(regexp_replace(regexp_extract(text, '{PHONE_SQL}'), '\\s+', ' ', 'g')) AS value
+        FROM documents WHERE regexp_matches(text, '{PHONE_SQL}')"""
+)
+def contact_extract(spark, sf_dir):
+    """Telephone numbers and ids in documents; the test tables only have the former."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", contacts.contact(F.col("text")).alias("c"))
+    return rows.where("c is not null").select("doc_id", "c.kind", "c.value")
+
+
+MAIL = r"[A-Za-z0-9._]+@[A-Za-z0-9.]+\.[a-z]+"
+
+
+@query(
+    f"""SELECT conv_id, count(*) AS n_turns, count(*) FILTER (regexp_matches(text, '{MAIL}')) AS n_mail, arg_min(text, turn) AS context_title
+        FROM conversations GROUP BY conv_id"""
+)
+def turn_contacts(spark, sf_dir):
+    """Turns and addresses of each conversation, under its first turn as a title."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id")
+    return rows.agg(F.count("*").alias("n_turns"), F.count_if(F.col("text").rlike(MAIL)).alias("n_mail"), F.min_by("text", "turn").alias("context_title"))
+
+
+LETTERS_SQL = "length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g'))"
+
+
+@query(
+    f"""SELECT doc_id, sum(n)::BIGINT AS n, count(*) AS kinds, sum(n * length(word))::DOUBLE / {LETTERS_SQL} AS density
+        FROM (SELECT doc_id, text, word, {COUNT_SQL} AS n FROM documents, {WORDS_SQL}) WHERE n > 0 GROUP BY doc_id, text"""
+)
+def stuffing_stats(spark, sf_dir):
+    """Share of a document's letters that are dictionary words."""
+    spans = matching.spans(Matcher(WORDS), F.col("text"))
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", spans.alias("s"), letters.alias("letters")).where(F.size("s") > 0)
+    covered = F.aggregate("s", F.lit(0), lambda a, x: a + x["stop"] - x["start"])
+    kinds = F.size(F.array_distinct(F.transform("s", lambda x: x["word"])))
+    return rows.select("doc_id", F.size("s").cast("long").alias("n"), kinds.cast("long").alias("kinds"), (covered.cast("double") / F.col("letters")).alias("density"))
+
+
+def scored_documents(spark, sf_dir):
+    """Documents with evidence of words, contacts and license lines, scored like elements."""
+    docs = table(spark, sf_dir, "documents")
+    hits = F.filter(
+        F.array(*[
+            F.when(F.col("text").rlike("(?i)" + k.source), F.struct(F.lit(k.word).alias("word"), F.lit(k.category).alias("category"), F.lit(k.weight).alias("weight")))
+            for k in WORDS
+        ]),
+        lambda h: h.isNotNull(),
+    )
+    phone = F.when(F.col("text").rlike("(?U)" + PHONE_SQL), evidence.ev("contact", "phone", 1))
+    mail = F.when(F.col("text").rlike(MAIL), evidence.ev("hidden", "mail", 2))
+    rows = docs.withColumn("hits", hits).where(F.size("hits") > 0)
+    found = F.transform("hits", lambda h: evidence.ev("keyword", h["word"], h["weight"])).cast(evidence.EVIDENCE)
+    rows = rows.withColumn("evidence", evidence.gathered(found, evidence.one(phone), evidence.one(mail)).cast(evidence.EVIDENCE))
+    rows = rows.withColumn("votes", F.transform("hits", lambda h: F.struct(h["category"].alias("category"), h["weight"].alias("weight"))).cast(evidence.VOTES))
+    settings = evidence.Settings(suspect_score=2, min_evidence=1)
+    return rows.where(evidence.enough(settings)).withColumns(evidence.rated(settings))
+
+
+FOUND_SQL = "CASE word " + " ".join(f"WHEN '{k.word}' THEN {counted(k.word)} > 0" for k in WORDS) + " END"
+SCORED_SQL = f"""
+    w AS (SELECT doc_id, text, lang, source, word, category, weight, ord FROM documents, {WORDS_SQL} WHERE {FOUND_SQL}),
+    v AS (SELECT doc_id, category, sum(weight) AS weight, min(ord) AS ord FROM w GROUP BY doc_id, category),
+    c AS (SELECT doc_id, arg_max(category, weight * 1000 - ord) AS category FROM v GROUP BY doc_id),
+    e AS (
+      SELECT doc_id, lang, source, any_value(text) AS text, sum(weight)::INTEGER AS word_points, count(*) AS n_words,
+        regexp_matches(any_value(text), '{PHONE_SQL}') AS phone, regexp_matches(any_value(text), '{MAIL}') AS mail
+      FROM w GROUP BY doc_id, lang, source
+    ),
+    s AS (
+      SELECT doc_id, lang, source, text, word_points + phone::INTEGER + 2 * mail::INTEGER AS score, (n_words + phone::INTEGER + mail::INTEGER)::INTEGER AS n_evidence,
+        CASE WHEN mail THEN 'hidden' ELSE 'visible' END AS pattern, category
+      FROM e JOIN c USING (doc_id)
+    ),
+    f AS (SELECT *, CASE WHEN score >= 5 THEN 'high' ELSE 'suspect' END AS level FROM s WHERE score >= 2)"""
+
+
+@query(f"WITH {SCORED_SQL} SELECT doc_id, score, n_evidence, level, pattern, category FROM f")
+def evidence_score(spark, sf_dir):
+    return scored_documents(spark, sf_dir).select("doc_id", "score", F.size("evidence").alias("n_evidence"), "level", "pattern", "category")
+
+
+@query(
+    f"""WITH {SCORED_SQL} SELECT level, category, count(*) AS n, sum(score)::BIGINT AS points, max(score) AS top FROM f GROUP BY level, category"""
+)
+def evidence_summary(spark, sf_dir):
+    """The flagship: documents to findings, by level and category."""
+    rows = scored_documents(spark, sf_dir).groupBy("level", "category")
+    return rows.agg(F.count("*").alias("n"), F.sum("score").alias("points"), F.max("score").alias("top"))
+
+
+@query(
+    f"""WITH {SCORED_SQL} SELECT category, pattern, count(*) AS n, count(*) FILTER (level = 'high') AS high FROM f
+        GROUP BY GROUPING SETS ((category), (pattern), ())"""
+)
+def summary_grouping_sets(spark, sf_dir):
+    rows = scored_documents(spark, sf_dir)
+    return rows.groupingSets([["category"], ["pattern"], []], "category", "pattern").agg(F.count("*").alias("n"), F.count_if(F.col("level") == "high").alias("high"))
+
+
+@query(
+    f"""WITH {SCORED_SQL} SELECT level = 'high' AS flagged, toxic, count(*) AS n FROM (SELECT doc_id, toxic, coalesce(level, '') AS level
+        FROM labels LEFT JOIN f USING (doc_id)) GROUP BY 1, 2"""
+)
+def label_confusion(spark, sf_dir):
+    """Verdicts against labels."""
+    found = scored_documents(spark, sf_dir).select("doc_id", "level")
+    rows = table(spark, sf_dir, "labels").join(found, "doc_id", "left").select((F.coalesce("level", F.lit("")) == "high").alias("flagged"), "toxic")
+    return rows.groupBy("flagged", "toxic").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT content, count(DISTINCT doc_id) AS page_count, min(doc_id) AS first_page, arg_min(source, doc_id) AS source
+       FROM (SELECT doc_id, source, split_part(text, chr(10), 1) AS content FROM documents) GROUP BY content HAVING count(DISTINCT doc_id) > 1"""
+)
+def findings_grouped(spark, sf_dir):
+    """Equal content on several pages, with the attributes of the first."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", "\n")[0].alias("content"))
+    per_page = rows.groupBy("content", "doc_id").agg(F.min("source").alias("source"))
+    groups = per_page.groupBy("content").agg(F.count("*").alias("page_count"), F.min("doc_id").alias("first_page"), F.min_by("source", "doc_id").alias("source"))
+    return groups.where("page_count > 1")
+
+
+@query(
+    f"""WITH {SCORED_SQL} SELECT source, doc_id, score FROM (
+        SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, category = 'legal' DESC, doc_id) AS k FROM f) WHERE k = 1"""
+)
+def same_spot_argmax(spark, sf_dir):
+    """The strongest finding at each place, the first of equal ones."""
+    order = Window.partitionBy("source").orderBy(F.desc("score"), F.desc(F.col("category") == "legal"), "doc_id")
+    return scored_documents(spark, sf_dir).withColumn("k", F.row_number().over(order)).where("k = 1").select("source", "doc_id", "score")
+
+
+PLACES_SQL = f"""p AS (SELECT {HOST_SQL} AS host, string_split(trim({PATH_SQL}, '/'), '/') AS parts, page_id FROM pages),
+    x AS (
+      SELECT host, parts[1] AS selector, max(page_id % 7) AS score FROM p GROUP BY ALL
+      UNION SELECT host, parts[1] || ' > ' || parts[2], max(page_id % 7) FROM p WHERE len(parts) > 1 GROUP BY ALL
+    )"""
+
+
+@query(
+    f"""WITH {PLACES_SQL} SELECT host, selector, score::INTEGER AS score FROM x a WHERE NOT EXISTS (
+          SELECT 1 FROM x b WHERE b.host = a.host AND a.selector LIKE b.selector || ' > %' AND b.score >= a.score)
+        AND NOT EXISTS (SELECT 1 FROM x b WHERE b.host = a.host AND b.selector LIKE a.selector || ' > %' AND b.score > a.score)"""
+)
+def drop_descendants(spark, sf_dir):
+    """Of nested places those that no stronger one around or inside covers."""
+    parts = F.split(F.btrim(urls.path("url"), F.lit("/")), "/")
+    rows = table(spark, sf_dir, "pages").select(urls.host("url").alias("host"), parts.alias("parts"), (F.col("page_id") % 7).cast("int").alias("score"))
+    heads = rows.select("host", "score", F.explode(F.array(F.col("parts")[0], F.when(F.size("parts") > 1, F.concat_ws(" > ", F.col("parts")[0], F.get("parts", F.lit(1)))))).alias("selector"))
+    places = heads.where("selector is not null").groupBy("host", "selector").agg(F.max("score").alias("score"))
+    shaped = places.select(F.col("host").alias("crawl_id"), F.lit(0).alias("page_ord"), F.array().cast("array<string>").alias("frame_path"), "selector", "score")
+    return detect.without_descendants(shaped).select(F.col("crawl_id").alias("host"), "selector", "score")
+
+
+SET_SQL = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'))"
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, {SET_SQL} AS ws FROM documents)
+        SELECT a.doc_id, len(list_intersect(a.ws, b.ws))::DOUBLE / len(list_distinct(a.ws || b.ws)) AS similarity
+        FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 WHERE len(a.ws) + len(b.ws) > 0"""
+)
+def word_jaccard_pairs(spark, sf_dir):
+    """How much each document shares with the next one, as snapshots of a page are compared."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    sets = [F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))) for c in ("text", "other")]
+    rows = docs.join(after, "doc_id").where(F.size(sets[0]) + F.size(sets[1]) > 0)
+    return rows.select("doc_id", (F.size(F.array_intersect(*sets)).cast("double") / F.size(F.array_union(*sets))).alias("similarity"))
+
+
+@query(
+    """WITH l AS (SELECT source, doc_id, i, line FROM (
+          SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+       b AS (SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source)
+       SELECT source, doc_id, count(*) AS n_fresh, arg_min(line, i) AS first_line FROM l
+       WHERE NOT EXISTS (SELECT 1 FROM l x JOIN b USING (source, doc_id) WHERE x.source = l.source AND x.line = l.line) GROUP BY source, doc_id"""
+)
+def fresh_lines(spark, sf_dir):
+    """Lines of each document that the first one of its source doesn't have."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    first = docs.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+    known = lines.join(first, ["source", "doc_id"], "left_semi").select("source", "line")
+    return lines.join(known, ["source", "line"], "left_anti").groupBy("source", "doc_id").agg(F.count("*").alias("n_fresh"), F.min_by("line", "i").alias("first_line"))
+
+
+@query(
+    """WITH d AS (SELECT source, doc_id, left(regexp_replace(text, '\\s+', '', 'g'), 5000) AS t FROM documents),
+       h AS (SELECT source, arg_min(t, doc_id) AS home FROM d WHERE length(t) >= 20 GROUP BY source)
+       SELECT source, count(*) AS n, min(doc_id) AS first, any_value(t) = any_value(home) AS repeated FROM d JOIN h USING (source) WHERE length(t) >= 20
+       GROUP BY source, t HAVING count(*) >= CASE WHEN any_value(t) = any_value(home) THEN 3 ELSE 2 END"""
+)
+def duplicate_screens(spark, sf_dir):
+    """Documents of a source that show the same screen."""
+    docs = table(spark, sf_dir, "documents")
+    pages = docs.select(
+        F.col("source").alias("crawl_id"), F.col("doc_id").alias("page_ord"), F.format_string("http://x/%d", "doc_id").alias("url"), F.lit("").alias("final_url"),
+        F.lit("").alias("title"), "text", F.lit(False).alias("regated"),
+    )
+    found = screens.same_screens(pages)
+    return found.select(F.col("crawl_id").alias("source"), F.col("count").alias("n"), "first", (F.col("kind") == "repeated").alias("repeated"))
+
+
+@query(
+    """WITH m AS (SELECT user_id, event_id, event_type, event_type = (SELECT min(event_type) FROM events) AS bad FROM events),
+       i AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM m)
+       SELECT user_id, max(run)::INTEGER AS longest, count(*) FILTER (run >= 2) AS in_runs
+       FROM (SELECT user_id, sum(bad::INTEGER) OVER (PARTITION BY user_id, island ORDER BY event_id) AS run FROM i) GROUP BY user_id"""
+)
+def error_streaks(spark, sf_dir):
+    """The longest run of one type of event of each user."""
+    events = table(spark, sf_dir, "events")
+    least = F.broadcast(events.agg(F.min("event_type").alias("least")))
+    rows = screens.runs(events.crossJoin(least), ["user_id"], "event_id", F.col("event_type") == F.col("least"))
+    return rows.groupBy("user_id").agg(F.max("run").alias("longest"), F.count_if(F.col("run") >= 2).alias("in_runs"))
+
+
+@query(
+    """WITH v AS (SELECT user_id AS site, event_id AS seq FROM events WHERE value > 50 OR event_id % 5 = 0)
+       SELECT site, seq, least(30.0, 2.0 * pow(2.0, row_number() OVER (PARTITION BY site ORDER BY seq) - 1)) AS delay_sec FROM v"""
+)
+def backoff_schedule(spark, sf_dir):
+    """Delays after each throttling, when some events stand for refused requests."""
+    visits = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("site"), "user_id", F.col("event_id").alias("seq"), F.lit("").alias("url"), F.lit("").alias("final_url"),
+        F.when((F.col("value") > 50) | (F.col("event_id") % 5 == 0), 429).otherwise(200).alias("status"), F.lit("").alias("retry_after"), F.lit("").alias("title"), F.lit("").alias("text"),
+    )
+    return screens.backed_off(screens.throttled(visits)).select(F.col("user_id").alias("site"), "seq", "delay_sec")
+
+
+@query(
+    """WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+       g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM s)
+       SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n_events FROM g GROUP BY user_id, session"""
+)
+def session_rollup(spark, sf_dir):
+    return jobs.sessions(table(spark, sf_dir, "events")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "n_events")
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def window_counts(spark, sf_dir):
+    return jobs.windowed(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n_events", F.round("total", 4).alias("total"))
+
+
+@query(
+    f"""SELECT category, word, n FROM (SELECT category, word, sum(n)::BIGINT AS n, row_number() OVER (PARTITION BY category ORDER BY sum(n) DESC, word) AS k
+        FROM (SELECT category, word, {COUNT_SQL} AS n FROM documents, {WORDS_SQL}) GROUP BY category, word) WHERE k <= 5 AND n > 0"""
+)
+def top_words(spark, sf_dir):
+    """The five most frequent words of each category."""
+    spans = matching.spans(Matcher(WORDS), F.col("text"))
+    rows = table(spark, sf_dir, "documents").select(F.explode(spans).alias("s")).groupBy("s.category", "s.word").agg(F.count("*").alias("n"))
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n"), "word"))).where("k <= 5").select("category", "word", "n")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN length(regexp_replace(text, '\\s+', '', 'g')) < 800 AND regexp_matches(text, '(?i)404|not\\s*found|page\\s*not|does\\s*not\\s*exist')
+       THEN 'soft' ELSE '' END AS reason FROM documents"""
+)
+def soft_errors(spark, sf_dir):
+    reason = screens.error_reason(F.lit(200), F.lit(""), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(reason != "", "soft").otherwise("").alias("reason"))
+
+
+@query()
+def detect_pages(spark, sf_dir):
+    """Full detection over the test pages, each a crawl of its own."""
+    return detect.grouped(detect.page_findings(crawls_of_pages(spark, sf_dir), evidence.Settings(suspect_score=1, min_evidence=1, matcher=Matcher(WORDS)))).select(
+        "crawl_id", "id", "level", "score", "pattern", "category", "type", "content", "selector", "page_count"
+    )
+
+
+def crawls_of_pages(spark, sf_dir):
+    """The test pages as crawl documents."""
+    from pagewarden.sources import crawl
+
+    rows = html_source.pages_from_html(table(spark, sf_dir, "pages"))
+    frame = F.struct(F.lit(True).alias("is_main"), "title", F.col("url").alias("frame_url"), "text", F.array().alias("frame_path"))
+    page = F.struct("url", F.col("url").alias("final_url"), "title", F.array(frame).alias("frames"), "elements")
+    made = F.to_json(F.struct(F.struct(F.col("url").alias("start_url")).alias("meta"), F.array(page).alias("pages")))
+    return crawl.from_json(rows.select("page_id", made.alias("j")), "page_id", "j")
+
+
 @query(
-    "external_hosts",
-    """SELECT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, count(*) AS n_pages
-       FROM pages GROUP BY 1""",
+    f"""SELECT a.page_id, len(list_intersect(a.ws, b.ws))::DOUBLE / len(list_distinct(a.ws || b.ws)) AS similarity
+        FROM (SELECT page_id, list_distinct(regexp_extract_all(lower(url), '[a-z0-9_]{{2,}}')) AS ws FROM pages) a,
+             (SELECT list_distinct(regexp_extract_all(lower(url), '[a-z0-9_]{{2,}}')) AS ws FROM pages WHERE page_id = 0) b"""
 )
-def external_hosts(spark, sf_dir):
-    host = F.lower(F.regexp_extract("url", r"^https?://([^/?#:]+)", 1))
-    return table(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count("*").alias("n_pages"))
+def snapshot_similarity(spark, sf_dir):
+    """The comparison of two snapshots, on addresses."""
+    pages = table(spark, sf_dir, "pages")
+    base = F.broadcast(pages.where("page_id = 0").select(F.col("url").alias("base")))
+    return pages.crossJoin(base).select("page_id", cloaking.similarity(F.col("base"), F.col("url")).alias("similarity"))
