@@ -143,7 +143,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(judged, "id long, lang_pred string, score double, langs array<string>")
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 1 / 3) -> DataFrame:
     """The rows whose text has a language that makes up at least so much of it, with all columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return filter_rows(docs, text_col, sent, lambda m: lambda text: max(m.languages_of(text).values(), default=0.0) >= least)
