@@ -33,6 +33,7 @@ REMEMBERED = 1 << 18
 #: Words of more bytes are merged with a heap.
 LONG = 64
 BUCKETS = 1 << 15
+NO_RANK = 1 << 32
 
 
 @cache
@@ -48,16 +49,17 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
         return [word]
     if len(word) > LONG:
         return merge_long(word, ranks)
+    get = ranks.get
     parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        best, at = None, 0
-        for i, pair in enumerate(zip(parts, parts[1:])):
-            r = ranks.get(pair[0] + pair[1])
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            break
+    pairs = [get(word[i : i + 2], NO_RANK) for i in range(len(word) - 1)]
+    while pairs and (best := min(pairs)) < NO_RANK:
+        at = pairs.index(best)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del pairs[at]
+        if at < len(pairs):
+            pairs[at] = get(parts[at] + parts[at + 1], NO_RANK)
+        if at:
+            pairs[at - 1] = get(parts[at - 1] + parts[at], NO_RANK)
     return parts
 
 
@@ -95,6 +97,7 @@ class Codec:
         self.ranks = ranks
         self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.pieces = {r: p for p, r in ranks.items()}
+        self.packed = {p: r.to_bytes(4, "little") for p, r in ranks.items()}
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
@@ -104,7 +107,7 @@ class Codec:
             known.clear()
             new = set(words)
         for w in new:
-            known[w] = array("I", [self.ranks[p] for p in merge(w.encode(), self.ranks)]).tobytes()
+            known[w] = b"".join([self.packed[p] for p in merge(w.encode(), self.ranks)])
         return b"".join(map(known.__getitem__, words))
 
     def decode(self, ids: bytes) -> bytes:
