@@ -17,6 +17,7 @@ from pagewarden.operators.evidence import (
     EVIDENCE, POINTS, SURFACE, SUSPECT, VOTES, Settings, advice, enough, ev, external, from_hits, gathered, has, labels, one, only, rated, untrusted,
     votes_of,
 )
+from pagewarden.plans.shared import stored
 from pagewarden.sources import crawl
 
 MAX_CHILD_LINKS = 20
@@ -234,7 +235,7 @@ def page_findings(crawls: DataFrame, settings: Settings | None = None) -> DataFr
     found = element_findings(with_links_below(page_elements(pages)), settings).unionByName(redirect_findings(pages, settings))
     found = with_stuffing(found, pages, settings)
     found = found.unionByName(shaped(cloaking.findings(pages, settings)))
-    return without_descendants(strongest_by_place(found))
+    return without_descendants(strongest_by_place(stored(found, "findings")))
 
 
 GROUP = ["crawl_id", "frame_path", "selector", "content", "type"]
