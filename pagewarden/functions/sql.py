@@ -27,7 +27,7 @@ def register(spark: SparkSession, matcher: Matcher | None = None) -> list[str]:
 
     @pandas_udf("string")
     def ad_normalize(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else matcher.charmap.normalize(t)[0])
+        return texts.map(lambda t: None if t is None else matcher.charmap.view(t))
 
     @pandas_udf(urls.PARAMS)
     def query_params(found: pd.Series) -> pd.Series:

@@ -24,7 +24,7 @@ def _letters(text: str) -> int:
 
 def stats_of(matcher: Matcher, text: str | None) -> dict | None:
     """How a text is stuffed, or None if it isn't."""
-    read = matcher.charmap.normalize(text or "")[0]
+    read = matcher.charmap.view(text or "")
     found = matcher.spans(read)
     counts = Counter(k for k, *_ in found)
     if len(found) < LEAST_COUNT or len(counts) < LEAST_KINDS or len(found) < LEAST_REPEAT * len(counts):

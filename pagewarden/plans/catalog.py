@@ -264,10 +264,10 @@ def stuffing_stats(spark, sf_dir):
 
 def scored_documents(spark, sf_dir):
     """Documents with evidence of words, contacts and license lines, scored like elements."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").withColumn("lowered", F.lower("text"))
     hits = F.filter(
         F.array(*[
-            F.when(F.col("text").rlike("(?i)" + k.source), F.struct(F.lit(k.word).alias("word"), F.lit(k.category).alias("category"), F.lit(k.weight).alias("weight")))
+            F.when(F.contains(F.col("lowered"), F.lit(k.word)) & F.col("lowered").rlike(k.source), F.struct(F.lit(k.word).alias("word"), F.lit(k.category).alias("category"), F.lit(k.weight).alias("weight")))
             for k in WORDS
         ]),
         lambda h: h.isNotNull(),

@@ -229,9 +229,12 @@ def without_descendants(found: DataFrame) -> DataFrame:
 
 
 def page_findings(crawls: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """All findings, page by page."""
+    """All findings, page by page.
+
+    Pages are stored once, in columns: five branches read what each needs of them, and none parses documents again.
+    """
     settings = settings or Settings()
-    pages = prepared_pages(crawls, settings)
+    pages = stored(prepared_pages(crawls, settings), "pages")
     found = element_findings(with_links_below(page_elements(pages)), settings).unionByName(redirect_findings(pages, settings))
     found = with_stuffing(found, pages, settings)
     found = found.unionByName(shaped(cloaking.findings(pages, settings)))
