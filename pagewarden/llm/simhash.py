@@ -67,16 +67,21 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)]
 
 
+def signed(value: int) -> int:
+    """64 bits as a signed long."""
+    return value - (1 << 64) if value >> 63 else value
+
+
 def links(fps: DataFrame, radius: int = 3, segments: int = 2) -> DataFrame:
     """(a, b), a < b: all pairs of distinct fingerprints that differ in at most ``radius`` bits."""
     distinct = fps.select("fp").distinct()
     width = BITS // segments
     parts = [
-        F.struct(F.lit(s).alias("segment"), F.shiftrightunsigned("fp", s * width).bitwiseAND(F.lit((1 << width) - 1)).alias("value"))
+        F.struct(F.lit(s).alias("segment"), F.shiftrightunsigned("fp", s * width).bitwiseAND(F.lit(signed((1 << width) - 1))).alias("value"))
         for s in range(segments)
     ]
     index = distinct.select(F.col("fp").alias("b"), F.inline(F.array(*parts)))
-    masks = F.array(*[F.lit(m).cast("long") for m in ball(width, radius // segments)])
+    masks = F.array(*[F.lit(signed(m)).cast("long") for m in ball(width, radius // segments)])
     probes = distinct.select(F.col("fp").alias("a"), F.inline(F.array(*parts))).select(
         "a", "segment", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("value")
     )
