@@ -110,9 +110,9 @@ def losses(counts: DataFrame) -> DataFrame:
     for k in range(ORDER - 1, 0, -1):
         key = F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
         levels[k] = levels[k + 1].groupBy(key.alias("gram")).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    whole = levels[1].agg(F.sum("n").alias("nn"), F.sum("m").alias("mm"), F.count("*").alias("v"))
-    p, q = (F.col("n") + 1) / (F.col("nn") + F.col("v")), (F.col("m") + 1) / (F.col("mm") + F.col("v"))
-    found = levels[1].crossJoin(F.broadcast(whole)).select("gram", p.alias("p"), q.alias("q"))  # the right side is one row
+    whole = levels[1].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.count("*").alias("v")).first()
+    p, q = (F.col("n") + 1) / F.lit(float(whole.n + whole.v)), (F.col("m") + 1) / F.lit(float(whole.m + whole.v))
+    found = levels[1].select("gram", p.alias("p"), q.alias("q"))
     for k in range(2, ORDER + 1):
         context = F.shiftrightunsigned("gram", BITS).alias("context")
         rows = levels[k].select("*", context, F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1)).alias("lower"))

@@ -14,8 +14,6 @@ repeated rows get a row each. Without labels only the base rules decide.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +121,7 @@ def thresholds(good: DataFrame, cutoffs: dict[str, list[float]] = CUTOFFS, alpha
     counted = [
         F.count_if(rule_scores()[rule] > F.lit(c)).alias(f"{rule}_{i}") for rule, values in cutoffs.items() for i, c in enumerate(values)
     ]
-    counts = good.groupBy("stratum").agg(F.count("*").alias("n"), *counted)
+    counts = stored(good.groupBy("stratum").agg(F.count("*").alias("n"), *counted), "rejections")
     tests = F.array(
         *[
             F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{rule}_{i}").alias("k"))
@@ -131,9 +129,8 @@ def thresholds(good: DataFrame, cutoffs: dict[str, list[float]] = CUTOFFS, alpha
             for i, c in enumerate(values)
         ]
     )
-    strata = counts.agg(F.count("*").alias("strata"))
-    tested = counts.select("stratum", "n", F.inline(tests)).crossJoin(F.broadcast(strata))  # the right side is one row
-    level = F.lit(delta) / (F.lit(float(len(cutoffs))) * F.col("strata"))
+    level = delta / (len(cutoffs) * max(1, counts.count()))
+    tested = counts.select("stratum", "n", F.inline(tests))
     valid = tested.where(binomial_tail(F.col("n"), F.col("k"), alpha / len(cutoffs)) <= level)
     # k never falls along a rule's cutoffs, so the valid ones are its first ones.
     return valid.groupBy("stratum").agg(*[F.max_by(F.when(F.col("rule") == r, F.col("cutoff")), F.when(F.col("rule") == r, F.col("step"))).alias(r) for r in cutoffs])

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Only the share of each label's rows that holds so many times the wanted rows is ranked, whatever the input's size.
 SPARE = 4
+#: A model learns so many labels at most, the most frequent ones.
+MOST_LABELS = 500
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int, bytes_per_label: int) -> list[tuple]:
@@ -21,7 +23,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows_per_label: int, byt
     keys = docs.select("id", F.octet_length("text").alias("size")).where("id is not null and size is not null")
     labels = labels.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     labels = labels.withColumn("h", F.xxhash64(F.col("id").cast("string"), F.lit("sample")))
-    share = labels.groupBy("label").agg((F.lit(float(SPARE * rows_per_label)) / F.count("*")).alias("share"))
+    classes = labels.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LABELS)
+    share = classes.select("label", (F.lit(float(SPARE * rows_per_label)) / F.col("n")).alias("share"))
     drawn = labels.join(F.broadcast(share), "label").where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
     ranked = keys.join(drawn, "id")
     first = Window.partitionBy("label").orderBy("h", "id", "size")
