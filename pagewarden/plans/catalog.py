@@ -138,8 +138,8 @@ def suspicious_hosts(spark, sf_dir):
 )
 def same_site_flags(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    seed = pages.where("page_id = 0").select(F.regexp_replace(urls.host("url"), r"^(m|www|blog)\.", "").alias("s"))
-    return pages.select("page_id", urls.host("url").alias("h")).crossJoin(F.broadcast(seed)).select("page_id", urls.same_site(F.col("h"), F.col("s")).alias("same_site"))
+    seed = pages.where("page_id = 0").select(F.regexp_replace(urls.host("url"), r"^(m|www|blog)\.", "").alias("s")).first()
+    return pages.select("page_id", urls.same_site(urls.host("url"), F.lit(seed.s)).alias("same_site"))
 
 
 @query(
@@ -181,9 +181,9 @@ def html_elements(spark, sf_dir):
 )
 def bfs_depth(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    n = F.broadcast(pages.agg(F.count("*").alias("n")))
-    steps = F.array(F.pmod(F.col("page_id") * 7 + 3, "n"), F.pmod(F.col("page_id") * 3 + 1, "n"))
-    edges = pages.crossJoin(n).select(F.col("page_id").alias("url"), F.explode(steps).alias("next"))
+    n = F.lit(pages.count())
+    steps = F.array(F.pmod(F.col("page_id") * 7 + 3, n), F.pmod(F.col("page_id") * 3 + 1, n))
+    edges = pages.select(F.col("page_id").alias("url"), F.explode(steps).alias("next"))
     return frontier.reachable(spark.range(1).toDF("url"), edges, 6)
 
 
@@ -437,8 +437,8 @@ def duplicate_screens(spark, sf_dir):
 def error_streaks(spark, sf_dir):
     """The longest run of one type of event of each user."""
     events = table(spark, sf_dir, "events")
-    least = F.broadcast(events.agg(F.min("event_type").alias("least")))
-    rows = screens.runs(events.crossJoin(least), ["user_id"], "event_id", F.col("event_type") == F.col("least"))
+    least = events.agg(F.min("event_type").alias("least")).first().least
+    rows = screens.runs(events, ["user_id"], "event_id", F.col("event_type") == least)
     return rows.groupBy("user_id").agg(F.max("run").alias("longest"), F.count_if(F.col("run") >= 2).alias("in_runs"))
 
 
@@ -516,5 +516,5 @@ def crawls_of_pages(spark, sf_dir):
 def snapshot_similarity(spark, sf_dir):
     """The comparison of two snapshots, on addresses."""
     pages = table(spark, sf_dir, "pages")
-    base = F.broadcast(pages.where("page_id = 0").select(F.col("url").alias("base")))
-    return pages.crossJoin(base).select("page_id", cloaking.similarity(F.col("base"), F.col("url")).alias("similarity"))
+    base = pages.where("page_id = 0").first().url
+    return pages.select("page_id", cloaking.similarity(F.lit(base), F.col("url")).alias("similarity"))
