@@ -113,6 +113,15 @@ def components(edges: DataFrame) -> DataFrame:
         seen = then
 
 
+def same_ids(fps: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """(a, b): edges between the nodes of different texts that share an id; None if no id is shared."""
+    shared = stored(fps.where("id is not null").groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("id"), "shared")
+    if shared.isEmpty():
+        return None
+    pairs = fps.join(shared, "id").join(nodes, "fp").select("id", "node").distinct()
+    return pairs.join(pairs.groupBy("id").agg(F.min("node").alias("least")), "id").select(F.col("node").alias("a"), F.col("least").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, segments: int = 2
 ) -> DataFrame:
@@ -120,10 +129,10 @@ def near_duplicates(
     fps = stored(fingerprints(docs, id_col, text_col, size), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
     left, right = (nodes.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node")) for c in "ab")
-    by_id = fps.where("id is not null").join(nodes, "fp").where("id <> node").groupBy("id").agg(F.min("node").alias("m"), F.max("node").alias("n"))
-    repeated = by_id.where("m <> n").select(F.col("m").alias("a"), F.col("n").alias("b"))
+    repeated = same_ids(fps, nodes)
     edges = links(nodes, radius, segments).join(left, "a").join(right, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    roots = components(edges.where("a is not null and b is not null").union(repeated))
+    edges = edges.where("a is not null and b is not null")
+    roots = components(edges if repeated is None else edges.union(repeated))
     labelled = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
     return fps.join(labelled, "fp").select("id", "fp", "component")
 

@@ -64,6 +64,11 @@ def test_odd_rows(docs, odd):
     check(docs, odd)
 
 
+def test_ids_of_several_texts(docs):
+    a, b, c, d = ("alpha beta gamma delta", "one two three four five", "red green blue", "north south east west")
+    check(docs, [(1, a), (5, a), (5, b), (7, b), (9, c), (3, c), (9, d), (3, a), (11, d), (12, "x y z w"), (12, "v u t s r")])
+
+
 def test_empty_table(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
     assert simhash.drop_near_duplicates(docs([])).count() == 0
