@@ -36,18 +36,26 @@ SAMPLE_BYTES = 5 << 20
 WINDOW = 32
 SHORTEST, LONGEST = 5, 14
 SEGMENTS, SEGMENT_BYTES, BASE_BYTES = 300, 6000, 16384
+TO_SPACE = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 #: Starting repeat offsets that end the header of a trained dictionary (a fixed value of the format).
 REPEATS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").split()
+    """Lower-cased words without ASCII punctuation."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(TO_SPACE).split()
 
 
 def windows(text: str | None, least: int = WINDOW) -> Iterable[bytes]:
-    """Consecutive runs of whole words of at least so many bytes (the last may be shorter)."""
-    run, size = [], 0
+    """Consecutive runs of whole words of at least so many bytes (the last may be shorter).
+
+    A word that is said again and again counts once, or the window would compress well under anything.
+    """
+    run, size, last = [], 0, None
     for w in words_of(text):
+        if w == last:
+            continue
+        last = w
         run.append(w)
         size += len(w) + 1
         if size >= least:
@@ -156,7 +164,7 @@ def fit(sample: list[tuple], toxic_share: float | None = None) -> Model:
     texts = {k: [t for i, t, y in sample if y == k and not calibrates(i)] for k in (0, 1)}
     held = [(t, y) for i, t, y in sample if calibrates(i)]
     share = (sum(y for *_, y in sample) + 0.5) / (len(sample) + 1) if toxic_share is None else toxic_share
-    base = [w for k in (0, 1) for t in texts[k][:800] for w in windows(t, 200)]
+    base = [w for t in texts[0][:800] for w in windows(t, 200)]  # without toxic text, or both sides would know its words
     if not texts[0] or not texts[1] or len({y for _, y in held}) < 2 or sum(map(len, base)) < 4 * BASE_BYTES:
         return Model(b"", b"", [share])
     toxic, n_toxic = contexts(texts[1])
