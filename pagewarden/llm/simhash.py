@@ -27,6 +27,8 @@ SEED = 42
 BITS = 64
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
+#: Edges in a file of a round of components.
+EDGES_PER_FILE = 500_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -101,13 +103,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = state(now)
+    files = 1 + seen[0] // EDGES_PER_FILE  # a round never has more edges than twice the first
     while True:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        now = stored(small.where("a <> b").distinct(), "edges")
+        now = stored(small.where("a <> b").distinct().coalesce(files), "edges")
         if (then := state(now)) == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = then
