@@ -13,6 +13,8 @@ BATCH_ROWS = 256
 BATCH_BYTES = 8 << 20
 #: A side is broadcast only if its measured size is under this many bytes.
 BROADCAST_BYTES = 32 << 20
+#: Rows of a narrow table in a file.
+ROWS_PER_FILE = 200_000
 
 #: Splits as `[^\x20\x09-\x0D]+` does, for Java regular expressions.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -46,10 +48,14 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Of a narrow table of at most so many ``rows`` the files are as many as these fill, not as many as there are
+    shuffle partitions.
+    """
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // ROWS_PER_FILE)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
