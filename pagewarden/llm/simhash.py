@@ -139,16 +139,20 @@ def near_duplicates(
     return fps.join(labelled, "fp").select("id", "fp", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row of each component, that of the smallest id, with all columns.
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """One row of each component of (id, component), that of the smallest id, with all columns.
 
     Of rows that repeat an id one stays. Rows with a null id are never dropped.
     """
-    found = near_duplicates(docs, id_col, text_col, **how).where("id is not null")
-    found = stored(found, "components", rows := docs.count())
+    found = stored(found.where("id is not null"), "components", rows := docs.count())
     left = without(docs, id_col, stored(found.where("id <> component").select("id").distinct(), "gone", rows))
     repeated = stored(found.groupBy("id").count().where("count > 1").select("id"), "repeated", rows)
     if repeated.isEmpty():
         return left
     again = repeated.toDF("_again")
     return without(left, id_col, repeated).unionByName(left.join(again, left[id_col] == again["_again"], "left_semi").dropDuplicates([id_col]))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of each component, that of the smallest id, with all columns; see ``one_of_each``."""
+    return one_of_each(docs, near_duplicates(docs, id_col, text_col, **how), id_col)
