@@ -54,19 +54,24 @@ def op1_line_dedup(spark, sf_dir):
     return found.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def item_words(source: str) -> str:
+    """SQL: the words of a text, every character of an unspaced script one of its own."""
+    apart = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in decontaminate.UNSPACED)
+    return rf"regexp_extract_all(regexp_replace(lower({source}), '([{apart}])', ' \1 ', 'g'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
 @query(
-    r"""
-    WITH d AS (
-      SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
-    ),
-    b AS (
-      SELECT item_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark
+    rf"""
+    WITH d AS (SELECT doc_id, {item_words("text")} AS ws FROM documents),
+    b AS (SELECT item_id, ws, least(len(ws), 5) AS k FROM (SELECT item_id, {item_words("text")} AS ws FROM benchmark) WHERE len(ws) > 0),
+    ds AS (
+      SELECT DISTINCT doc_id, k, array_to_string(ws[i:i + k - 1], ' ') AS s
+      FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM b))
     ),
-    ds AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
-    bs AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM b)),
+    bs AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS s FROM (SELECT item_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM b)),
     n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id)
     SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*)::DOUBLE / n_shingles AS containment
-    FROM bs JOIN n USING (item_id) JOIN ds USING (s)
+    FROM bs JOIN n USING (item_id) JOIN ds USING (k, s)
     GROUP BY doc_id, item_id, n_shingles
     HAVING count(*) >= 0.8 * n_shingles
     """
@@ -135,7 +140,8 @@ def op6_language_id(spark, sf_dir):
 
 def op7_sql() -> str:
     """Base counts by plain SQL, and the thresholds by the exact binomial distribution."""
-    rules = " UNION ALL ".join(f"SELECT '{r}' AS rule, {i} AS step, {c}::DOUBLE AS cutoff" for r, v in quality.CUTOFFS.items() for i, c in enumerate(v))
+    names = list(quality.CUTOFFS)
+    steps = " UNION ALL ".join(f"SELECT {i} AS step, " + ", ".join(f"{c}::DOUBLE AS {n}" for n, c in zip(names, row)) for i, row in enumerate(zip(*quality.CUTOFFS.values())))
     scores = {
         "symbols": "n_symbols::DOUBLE / greatest(n_words, 1)",
         "dup_lines": "n_dup_lines::DOUBLE / greatest(n_lines, 1)",
@@ -143,8 +149,7 @@ def op7_sql() -> str:
         "long_words": "word_chars::DOUBLE / greatest(n_words, 1)",
         "short_words": "-(word_chars::DOUBLE / greatest(n_words, 1))",
     }
-    score = "CASE rule " + " ".join(f"WHEN '{r}' THEN {s}" for r, s in scores.items()) + " END"
-    rate, n_rules = quality.ALPHA / len(scores), len(scores)
+    above, rate = " OR ".join(f"{s} > {n}" for n, s in scores.items()), quality.ALPHA
     return rf"""
     WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
     w AS (SELECT doc_id, stratum, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM t),
@@ -169,20 +174,20 @@ def op7_sql() -> str:
       SELECT * FROM b WHERE NOT base_failed
       AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)
     ),
-    rules AS ({rules}),
+    steps AS ({steps}),
     tests AS (
-      SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER ({score} > cutoff) AS k, (SELECT count(DISTINCT stratum) FROM good) AS strata
-      FROM good, rules GROUP BY stratum, rule, step, cutoff
+      SELECT stratum, step, count(*) AS n, count(*) FILTER ({above}) AS k, (SELECT count(DISTINCT stratum) FROM good) AS strata
+      FROM good, steps GROUP BY stratum, step
     ),
     tails AS (
-      SELECT stratum, rule, step, cutoff, strata,
+      SELECT stratum, step, strata,
         CASE WHEN k > n * {rate!r} THEN 1 ELSE
           list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate!r}) + (n - i) * ln(1 - {rate!r}))))
         END AS p
       FROM tests
     ),
-    chosen AS (SELECT stratum, rule, max_by(cutoff, step) AS cutoff FROM tails WHERE p <= {quality.DELTA!r} / ({n_rules}.0 * strata) GROUP BY stratum, rule),
-    failed AS (SELECT DISTINCT doc_id FROM b JOIN chosen USING (stratum) WHERE {score} > cutoff)
+    chosen AS (SELECT stratum, max(step) AS step FROM tails WHERE p <= {quality.DELTA!r} / strata GROUP BY stratum),
+    failed AS (SELECT DISTINCT doc_id FROM b JOIN chosen USING (stratum) JOIN steps USING (step) WHERE {above})
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM failed) AS kept
     FROM b

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes that a Python worker receives at once; a longer text travels alone.
 BATCH_ROWS = 256
 BATCH_BYTES = 8 << 20
-#: A side is broadcast only if its measured size is under this many bytes.
-BROADCAST_BYTES = 32 << 20
+#: A side is broadcast only if its rows, counted first, take less than this in a hash table.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of a row of one or two numbers in such a table.
+NARROW_ROW = 64
+#: A bitmap of marked keys has two to the power of this many bits, however many keys there are.
+BITMAP = 28
 #: Rows of a narrow table in a file.
 ROWS_PER_FILE = 200_000
 
@@ -26,26 +32,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches of Python stages small, so that long texts don't add up."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Keep the Arrow batches of the session's Python stages small, so that long texts don't add up.
+
+    The bounds are read when a plan runs, so they stay in the session; smaller ones are left as they are.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").removesuffix("b")
+        if not now.isdecimal() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset (local tests), a temporary folder of this machine takes its place.
+    Where that is unset, a temporary folder of this machine takes its place, which only local mode allows.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pagewarden-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Paths that each application has written to the shared folder.
+WRITTEN: dict[str, list[str]] = defaultdict(list)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    WRITTEN[spark.sparkContext.applicationId].append(path)
+    return path
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete what this application has stored; returns how many paths.
+
+    Results that haven't been written yet read these tables, so this is for the end of a job.
+    """
+    paths = WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
 
 
 def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
@@ -91,9 +122,34 @@ def filter_rows(docs: DataFrame, text_col: str, sent, keeps) -> DataFrame:
     return docs.mapInArrow(filtered, docs.schema)
 
 
+def fits(rows: int, row_bytes: int = NARROW_ROW) -> bool:
+    """Whether a side of so many rows may be broadcast."""
+    return rows * row_bytes <= BROADCAST_BYTES
+
+
 def without(docs: DataFrame, column: str, gone: DataFrame) -> DataFrame:
     """The rows whose value isn't in a stored one-column table; rows with a null stay."""
     gone = gone.toDF("_gone")
-    if gone.count() * 16 <= BROADCAST_BYTES:
+    if fits(gone.count()):
         gone = F.broadcast(gone)
     return docs.join(gone, docs[column] == gone["_gone"], "left_anti")
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Marks the hashes of a one-column table in a bitmap of a fixed size.
+
+    Tasks put bits together to words, so the driver gets the bitmap and never the keys. ``marked`` is true for
+    every key and for few other hashes, the more of these the more keys there are.
+    """
+    places = keys.select(F.shiftrightunsigned(F.col(keys.columns[0]), 64 - BITMAP).alias("place"))
+    bits = places.selectExpr("cast(shiftright(place, 6) AS int) AS word", "shiftleft(1L, cast(place & 63 AS int)) AS bit")
+    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP - 6), np.uint64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def marked(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of the hashes (64 bits each) are marked."""
+    place = hashes.view(np.uint64) >> np.uint64(64 - BITMAP)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1

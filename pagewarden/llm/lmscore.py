@@ -1,19 +1,22 @@
 """Language-model scoring by cross-entropy difference.
 
 Two n-gram models of the same order, smoothing and vocabulary are counted: one on the target documents, one
-on the whole corpus as the background. Tokens are characters: the shared vocabulary is every character of
-the corpus (those beyond the basic plane are one ``<unk>``), so no word list has to be cut. N-grams of
-``ORDER`` characters are counted per task, summed over the corpus, and blended with all lower orders by
-Witten-Bell smoothing. A document's score is its mean loss per token under the target model less that under
-the background model: the lower, the more it is like the target.
-
-Every n-gram of the corpus is in the background table, so scoring looks each one up in a table of both
-losses. The table is sent in blocks of at most ``BLOCK_BYTES``, each a pass over the documents; partial sums
-add up.
-
-Defined results: null is scored like the empty text, which has one token, its end. Rows with equal id and
-text get equal scores, one row each. Without target documents both models back off to the same uniform
-start, and the target's loss is that. Extra columns are ignored.
+on the whole corpus as the background. Tokens are UTF-16 code units: the shared vocabulary is every unit of
+the corpus, so no word list has to be cut and every character counts. N-grams of ``ORDER`` units are counted per
+task, summed over the corpus, and blended with all lower orders by Witten-Bell smoothing. A document's score is
+its mean loss per token under the target model less that under the background model: the lower, the more it is
+like the target.
+
+No document is scored by a model that has counted it: documents are dealt to ``FOLDS`` folds by a hash of their
+id, and each is scored by both models as counted on the other folds.
+
+Every n-gram of the corpus is in the tables, so scoring looks each one up in a table of the losses for every
+fold. The table is sent in blocks of at most ``BLOCK_BYTES``, each a pass over the documents; partial sums add up.
+
+Ids are integers (cast to long). Defined results: null is scored like the empty text, which has one token, its
+end; null ids are a fold's. Rows with equal id and text get equal scores, one row each. Without target documents in
+the other folds both models back off to the same uniform start, and the target's loss is that. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,22 +28,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import BROADCAST_BYTES, bounded_batches, stored
+from pagewarden.llm.common import bounded_batches, fits, stored
 
-ORDER = 4
+ORDER, FOLDS = 4, 2
 BITS = 16
-START, END, UNKNOWN = 2, 3, 0xFFFD
+#: Markers, which are no characters.
+START, END = 0xFFFE, 0xFFFF
 #: N-grams that a task gathers before it sorts them, and counts that it holds before it hands them on.
 GATHERED, HELD = 1 << 20, 1 << 21
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES, ENTRY_BYTES = 48 << 20, 8 + 8 * FOLDS
+#: Columns of counts and of losses: of the background (n) and the target (m) outside of each fold.
+MODELS = [f"{kind}_{fold}" for fold in range(FOLDS) for kind in "nm"]
+
+
+def fold_of(id_col: Column) -> Column:
+    """The fold of a row."""
+    return F.pmod(F.xxhash64(id_col.cast("string")), F.lit(FOLDS)).cast("int")
 
 
 def grams(text: str | None) -> np.ndarray:
-    """The n-gram that ends at each token, as packed 16-bit code points."""
-    points = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
-    points = np.where(points > 0xFFFF, UNKNOWN, points).astype(np.uint64)
-    padded = np.concatenate((np.full(ORDER - 1, START, np.uint64), points, np.array([END], np.uint64)))
-    n = len(points) + 1
+    """The n-gram that ends at each token, as packed code units."""
+    units = np.frombuffer((text or "").encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.uint64)
+    padded = np.concatenate((np.full(ORDER - 1, START, np.uint64), units, np.array([END], np.uint64)))
+    n = len(units) + 1
     packed = np.zeros(n, np.uint64)
     for k in range(ORDER):
         packed = (packed << np.uint64(BITS)) | padded[k : k + n]
@@ -77,70 +87,74 @@ class Counts:
         return out
 
 
-def count_grams(docs: DataFrame, text_col: str, target: Column) -> DataFrame:
-    """(gram, n, m): occurrences in the corpus and in the target documents."""
+def count_grams(docs: DataFrame, text_col: str, target: Column, fold: Column) -> DataFrame:
+    """(gram, n_0, m_0, ...): occurrences in the corpus and in the target documents, outside of each fold."""
     bounded_batches(docs.sparkSession)
 
     def counted(batches):
-        kinds = {False: Counts(), True: Counts()}  # outside and inside the target
+        kinds = {(f, inside): Counts() for f in range(FOLDS) for inside in (False, True)}
 
-        def drained(inside: bool):
-            codes, counts = kinds[inside].drain()
+        def drained(kind: tuple[int, bool]):
+            codes, counts = kinds[kind].drain()
             for k in range(0, len(codes), 1 << 16):
                 n = counts[k : k + (1 << 16)]
-                made = codes[k : k + (1 << 16)].view(np.int64), n, n if inside else np.zeros(len(n), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], ["gram", "n", "m"])
+                made = codes[k : k + (1 << 16)].view(np.int64), np.full(len(n), kind[0], np.int32), n, n if kind[1] else np.zeros(len(n), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], ["gram", "fold", "n", "m"])
 
         for batch in batches:
-            for text, inside in zip(batch.column(0), batch.column(1).to_pylist()):
-                kinds[inside].add(grams(text.as_py()))
-                if len(kinds[inside].codes) > HELD:
-                    yield from drained(inside)
-        for inside in kinds:
-            yield from drained(inside)
+            for text, *kind in zip(batch.column(0), *(c.to_pylist() for c in batch.columns[1:])):
+                counts = kinds[tuple(kind)]
+                counts.add(grams(text.as_py()))
+                if len(counts.codes) > HELD:
+                    yield from drained(tuple(kind))
+        for kind in kinds:
+            yield from drained(kind)
 
-    rows = docs.select(F.col(text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("inside"))
-    found = rows.mapInArrow(counted, "gram long, n long, m long")
-    return found.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    rows = docs.select(F.col(text_col).alias("text"), fold.alias("fold"), F.coalesce(target, F.lit(False)).alias("inside"))
+    found = rows.mapInArrow(counted, "gram long, fold int, n long, m long")
+    outside = lambda kind, f: F.sum(F.when(F.col("fold") == f, 0).otherwise(F.col(kind)))
+    return found.groupBy("gram").agg(*[outside(x[0], int(x[2:])).alias(x) for x in MODELS])
 
 
 def losses(counts: DataFrame) -> DataFrame:
-    """(gram, target_loss, background_loss): bits of each n-gram's last token after its others."""
+    """(gram, n_0, m_0, ...): bits of each n-gram's last token after its others, under each model."""
     levels = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         key = F.col("gram").bitwiseAND(F.lit((1 << (BITS * k)) - 1))
-        levels[k] = levels[k + 1].groupBy(key.alias("gram")).agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    whole = levels[1].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.count("*").alias("v")).first()
-    p, q = (F.col("n") + 1) / F.lit(float(whole.n + whole.v)), (F.col("m") + 1) / F.lit(float(whole.m + whole.v))
-    found = levels[1].select("gram", p.alias("p"), q.alias("q"))
+        levels[k] = levels[k + 1].groupBy(key.alias("gram")).agg(*[F.sum(x).alias(x) for x in MODELS])
+    whole = levels[1].agg(F.count("*").alias("v"), *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in MODELS]).first()
+    found = levels[1].select("gram", *[((F.col(x) + 1) / F.lit(float(whole[x] + whole.v))).alias(f"p_{x}") for x in MODELS])
     for k in range(2, ORDER + 1):
         context = F.shiftrightunsigned("gram", BITS).alias("context")
         rows = levels[k].select("*", context, F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1)).alias("lower"))
-        after = rows.groupBy("context").agg(
-            F.sum("n").alias("nn"), F.count_if(F.col("n") > 0).alias("nt"), F.sum("m").alias("mm"), F.count_if(F.col("m") > 0).alias("mt")
-        )
+        after = rows.groupBy("context").agg(*[c for x in MODELS for c in (F.sum(x).alias(f"all_{x}"), F.count_if(F.col(x) > 0).alias(f"kinds_{x}"))])
         joined = rows.join(after, "context").join(found.withColumnRenamed("gram", "lower"), "lower")
-        blend = lambda n, t, total, low: F.when(F.col(total) > 0, (F.col(n) + F.col(t) * F.col(low)) / (F.col(total) + F.col(t))).otherwise(F.col(low))
-        found = joined.select("gram", blend("n", "nt", "nn", "p").alias("p"), blend("m", "mt", "mm", "q").alias("q"))
-    return found.select("gram", (-F.log2("q")).alias("target_loss"), (-F.log2("p")).alias("background_loss"))
+
+        def blend(x: str) -> Column:
+            n, total, kinds, low = (F.col(f"{c}{x}") for c in ("", "all_", "kinds_", "p_"))
+            return F.when(total > 0, (n + kinds * low) / (total + kinds)).otherwise(low)
+
+        found = joined.select("gram", *[blend(x).alias(f"p_{x}") for x in MODELS])
+    return found.select("gram", *[(-F.log2(f"p_{x}")).cast("float").alias(x) for x in MODELS])
 
 
 def blocks(table: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The table of losses in sorted blocks of a bounded size: n-grams, and both losses."""
-    n = max(1, -(-table.count() * 24 // BLOCK_BYTES))
+    """The table of losses in sorted blocks of a bounded size: n-grams, and the losses."""
+    n = max(1, -(-table.count() * ENTRY_BYTES // BLOCK_BYTES))
     for k in range(n):
         part = table if n == 1 else table.where(F.pmod(F.xxhash64("gram"), F.lit(n)) == k)
         found = part.toArrow()
         codes = found["gram"].to_numpy().view(np.uint64)
         order = np.argsort(codes)
-        yield codes[order], np.stack([found[c].to_numpy()[order] for c in ("target_loss", "background_loss")], axis=1)
+        yield codes[order], np.stack([found[x].to_numpy()[order] for x in MODELS], axis=1)
 
 
 def add_losses(docs: DataFrame, table: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n_tokens, target_bits, background_bits) per row."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("twin"), F.col(text_col).alias("text"))
+    key = F.col(id_col).cast("long")
+    rows = docs.select(key.alias("id"), F.xxhash64(text_col).alias("twin"), fold_of(key).alias("fold"), F.col(text_col).alias("text"))
     found, passes = None, 0
     for block in blocks(table):
         sent = spark.sparkContext.broadcast(block)
@@ -149,14 +163,14 @@ def add_losses(docs: DataFrame, table: DataFrame, id_col: str, text_col: str) ->
             codes, lost = sent.value
             for batch in batches:
                 n, sums = [], []
-                for text in batch.column(2):
+                for fold, text in zip(batch.column(2).to_pylist(), batch.column(3)):
                     own, times = np.unique(grams(text.as_py()), return_counts=True)
                     at = np.minimum(np.searchsorted(codes, own), max(len(codes) - 1, 0))
                     known = codes[at] == own if len(codes) else np.zeros(len(own), bool)
                     n.append(int(times.sum()))
-                    sums.append(times[known] @ lost[at[known]] if known.any() else np.zeros(2))
+                    sums.append(times[known] @ lost[at[known], 2 * fold : 2 * fold + 2].astype(np.float64))
                 sums = np.array(sums).reshape(-1, 2)
-                columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1])]
+                columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sums[:, 1]), pa.array(sums[:, 0])]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "twin", "n_tokens", "t", "b"])
 
         part = rows.mapInArrow(scored, "id long, twin long, n_tokens long, t double, b double")
@@ -171,10 +185,10 @@ def add_losses(docs: DataFrame, table: DataFrame, id_col: str, text_col: str) ->
 def score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score) per row; ``target_ids`` has one column."""
     ids = target_ids.toDF("_target").where("_target is not null").distinct()
-    if ids.count() * 16 <= BROADCAST_BYTES:
+    if fits(ids.count()):
         ids = F.broadcast(ids)
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id") == F.col("_target"), "left")
-    table = stored(losses(stored(count_grams(joined, "text", F.col("_target").isNotNull()), "grams")), "losses")
+    joined = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id") == F.col("_target"), "left")
+    table = stored(losses(stored(count_grams(joined, "text", F.col("_target").isNotNull(), fold_of(F.col("id"))), "grams")), "losses")
     found = add_losses(docs, table, id_col, text_col)
     per = lambda c: F.col(c) / F.col("n_tokens")
     return found.select(

@@ -1,19 +1,23 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each rule scores a document (higher is worse) and has cutoffs from lenient to strict. On the labelled rows of
-each stratum, a cutoff is valid if an exact binomial test rejects, on the good documents that it would turn
-away, that its false rejection rate exceeds ``alpha`` divided by the number of rules. Cutoffs of a rule are tested in
-order until one fails (fixed sequence), and the level is divided by the number of (stratum, rule) pairs
-(Bonferroni). So with probability 1 - ``delta``, no stratum loses more than ``alpha`` of its good documents to
-the rules; a rule without a valid cutoff in a stratum does nothing there.
-
-Defined results: null text has no words, fails the base rules and has zero counts. A null stratum is one of
-its own. Null labels aren't used. A repeated label row counts as the worst of them. Extra columns are ignored;
-repeated rows get a row each. Without labels only the base rules decide.
+Each rule scores a document (higher is worse) and has a cutoff at each of a sequence of steps from lenient to strict;
+a step turns away what is above any of its cutoffs. On the labelled rows of each stratum, a step is valid if an
+exact binomial test rejects, on the good documents that it would turn away, that its false rejection rate exceeds
+``alpha``. Steps are tested in order until one fails (fixed sequence), and the level is divided by the number of
+strata (Bonferroni). So with probability 1 - ``delta``, no stratum loses more than ``alpha`` of its good documents to
+the rules. A stratum without a valid step, which has too few labels (90 good ones are the least for five strata), keeps
+all that passes the base rules.
+
+Defined results: null text has no words, fails the base rules and has zero counts. Null and empty strata are one.
+Null labels aren't used. A repeated label row counts as the worst of them. Extra columns are ignored; repeated rows get
+a row each. Without labels only the base rules decide.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,13 +27,13 @@ WINDOW = 8
 ALPHA, DELTA = 0.05, 0.05
 #: Thresholds are broadcast up to so many strata.
 BROADCAST_STRATA = 10_000
-#: Rules and their cutoffs from lenient to strict; a document fails above the cutoff.
+#: Rules and their cutoffs at each step, from lenient to strict; a document fails above the cutoff.
 CUTOFFS = {
     "symbols": [2.0, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05],
-    "dup_lines": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1],
-    "repeats": [0.28, 0.26, 0.24, 0.22, 0.2, 0.18, 0.16, 0.14, 0.12, 0.1],
-    "long_words": [60.0, 40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 13.0, 12.0, 11.0, 10.0],
-    "short_words": [-1.2, -1.5, -1.8, -2.0, -2.2, -2.5, -2.8, -3.0, -3.2, -3.5, -4.0],
+    "dup_lines": [0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15],
+    "repeats": [0.28, 0.26, 0.24, 0.22, 0.2, 0.19, 0.18, 0.17, 0.16, 0.15, 0.14, 0.12],
+    "long_words": [60.0, 40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 15.0, 14.0, 13.0, 12.0, 11.0],
+    "short_words": [-1.2, -1.5, -1.8, -2.0, -2.2, -2.4, -2.6, -2.8, -3.0, -3.2, -3.5, -3.8],
 }
 
 
@@ -114,26 +118,20 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
 
 
 def thresholds(good: DataFrame, cutoffs: dict[str, list[float]] = CUTOFFS, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, one column per rule): the strictest valid cutoff, null where there is none.
+    """(stratum, step, one column per rule): the cutoffs of the strictest valid step of each stratum that has one.
 
     ``good`` holds the base counts of the labelled good documents.
     """
-    counted = [
-        F.count_if(rule_scores()[rule] > F.lit(c)).alias(f"{rule}_{i}") for rule, values in cutoffs.items() for i, c in enumerate(values)
-    ]
-    counts = stored(good.groupBy("stratum").agg(F.count("*").alias("n"), *counted), "rejections")
-    tests = F.array(
-        *[
-            F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{rule}_{i}").alias("k"))
-            for rule, values in cutoffs.items()
-            for i, c in enumerate(values)
-        ]
-    )
-    level = delta / (len(cutoffs) * max(1, counts.count()))
+    steps, scores = range(len(next(iter(cutoffs.values())))), rule_scores()
+    above = [reduce(or_, [scores[rule] > F.lit(values[i]) for rule, values in cutoffs.items()]) for i in steps]
+    counts = stored(good.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(a).alias(f"k_{i}") for i, a in enumerate(above)]), "rejections")
+    tests = F.array(*[
+        F.struct(F.lit(i).alias("step"), F.col(f"k_{i}").alias("k"), *[F.lit(values[i]).alias(rule) for rule, values in cutoffs.items()]) for i in steps
+    ])
     tested = counts.select("stratum", "n", F.inline(tests))
-    valid = tested.where(binomial_tail(F.col("n"), F.col("k"), alpha / len(cutoffs)) <= level)
-    # k never falls along a rule's cutoffs, so the valid ones are its first ones.
-    return valid.groupBy("stratum").agg(*[F.max_by(F.when(F.col("rule") == r, F.col("cutoff")), F.when(F.col("rule") == r, F.col("step"))).alias(r) for r in cutoffs])
+    valid = tested.where(binomial_tail(F.col("n"), F.col("k"), alpha) <= delta / max(1, counts.count()))
+    # Cutoffs never grow from step to step, so k never falls, and the valid steps are the first ones.
+    return valid.groupBy("stratum").agg(F.max(F.struct("step", *cutoffs)).alias("last")).select("stratum", "last.*")
 
 
 def judge(

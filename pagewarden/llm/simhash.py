@@ -6,9 +6,10 @@ Fingerprints are cut into segments; two fingerprints that differ in at most ``ra
 of that small Hamming ball against a table of the segments as they are, and each match is verified on the
 whole 64 bits within the join. All of this works on distinct fingerprints, so copies are one node.
 
-Defined results: a null or empty text has fingerprint zero, linked like any other. Null ids are kept as
-rows and take no part in a component's smallest id. Rows that repeat an id are linked through it. Extra
-columns are ignored. An empty table gives an empty result.
+Ids are integers (cast to long). Defined results: a null or empty text has fingerprint zero, linked like any
+other. Null ids are kept as rows, link like any other and take no part in a component's smallest id, which is
+null where there is none. Rows that repeat an id are linked through it. Extra columns are ignored. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import bounded_batches, stored, without
+from pagewarden.llm.common import bounded_batches, stored
+from pagewarden.llm.groups import connected, one_of_each
 
 SEED = 42
 BITS = 64
@@ -89,70 +91,14 @@ def links(fps: DataFrame, radius: int = 3, segments: int = 2) -> DataFrame:
     return probes.join(index.hint("merge"), ["segment", "value"]).where(near).select("a", "b").distinct()
 
 
-def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
-    """(node, root): for each node of the edges (a, b) the smallest node that it reaches. ``rows``: about how many there are.
-
-    Large-star and small-star rounds in turn, each stored in the shared folder, until nothing changes. No
-    group of neighbours is ever gathered: a round takes minima and joins.
-    """
-
-    def state(e):
-        return e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1))")).first()
-
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows)
-    seen = state(now)
-    first = seen[0]  # a round never has more edges than twice as many
-    while True:
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        now = stored(small.where("a <> b").distinct(), "edges", 2 * first)
-        if (then := state(now)) == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = then
-
-
-def same_ids(fps: DataFrame, nodes: DataFrame, rows: int) -> DataFrame | None:
-    """(a, b): edges between the nodes of different texts that share an id; None if no id is shared."""
-    shared = stored(fps.where("id is not null").groupBy("id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("id"), "shared", rows)
-    if shared.isEmpty():
-        return None
-    pairs = fps.join(shared, "id").join(nodes, "fp").select("id", "node").distinct()
-    return pairs.join(pairs.groupBy("id").agg(F.min("node").alias("least")), "id").select(F.col("node").alias("a"), F.col("least").alias("b"))
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 3, segments: int = 2
 ) -> DataFrame:
     """(id, fp, component) per row: the fingerprint and the smallest id among all rows that links reach."""
     fps = stored(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    rows = fps.count()
-    nodes = stored(fps.groupBy("fp").agg(F.min("id").alias("node")), "nodes", rows)
-    left, right = (nodes.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node")) for c in "ab")
-    repeated = same_ids(fps, nodes, rows)
-    edges = links(nodes, radius, segments).join(left, "a").join(right, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    edges = edges.where("a is not null and b is not null")
-    roots = components(edges if repeated is None else edges.union(repeated), rows)
-    labelled = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
-    return fps.join(labelled, "fp").select("id", "fp", "component")
-
-
-def one_of_each(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """One row of each component of (id, component), that of the smallest id, with all columns.
-
-    Of rows that repeat an id one stays. Rows with a null id are never dropped.
-    """
-    found = stored(found.where("id is not null"), "components", rows := docs.count())
-    left = without(docs, id_col, stored(found.where("id <> component").select("id").distinct(), "gone", rows))
-    repeated = stored(found.groupBy("id").count().where("count > 1").select("id"), "repeated", rows)
-    if repeated.isEmpty():
-        return left
-    again = repeated.toDF("_again")
-    return without(left, id_col, repeated).unionByName(left.join(again, left[id_col] == again["_again"], "left_semi").dropDuplicates([id_col]))
+    return connected(fps, links(fps, radius, segments), fps.count())
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row of each component, that of the smallest id, with all columns; see ``one_of_each``."""
+    """One row of each component, that of the smallest id, with all columns; see ``groups.one_of_each``."""
     return one_of_each(docs, near_duplicates(docs, id_col, text_col, **how), id_col)

@@ -1,18 +1,21 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on toxic, one on ordinary text. Both share one trained base
-(entropy tables and common content), and each adds the class's own segments: words and word beginnings that
-occur in significantly more contexts of its class than of the other. A context is a word with its
-neighbours, so copies of a document count once. A text is cut into windows of about ``WINDOW`` bytes at word
-ends; each window is compressed under both dictionaries, and the difference in length says how much better
-the toxic one explains it. A logistic calibration, fitted on labelled rows that the dictionaries haven't
-seen, turns counts and rates of windows beyond length thresholds into a score.
+Two zstandard dictionaries are made: one from toxic, one from ordinary text. Both share one base that the
+library's trainer makes of ordinary text (entropy tables and common content), and each adds the class's own
+segments: words and word beginnings that occur in significantly more contexts of its class than of the other, as
+many as fit into ``SEGMENT_BYTES``. A context is a word with its neighbours, so copies of a document count once. A
+text is cut into windows of about ``WINDOW`` bytes at word ends; each window is compressed under both
+dictionaries, and the difference in length says how much better the toxic one explains it. A logistic
+calibration, fitted on labelled rows that the dictionaries haven't seen, turns counts and rates of windows beyond
+length thresholds into a score.
 
 The dictionaries and the calibration are fitted on a bounded sample: ``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES``
-bytes per class. Every whole text is scored.
+bytes per class, the base on the first ``BASE_TEXT`` bytes of its ordinary rows by the hash of their ids: a quarter
+of that at most, or the text as it is where the trainer makes nothing of it. Every whole text is scored.
 
-Defined results: null and empty texts have no window and get the score of that. Without rows of both classes
-the score is the smoothed share of toxic rows. Extra columns are ignored; repeated rows get a row each.
+Ids are integers (cast to long). Defined results: null and empty texts have no window and get the score of that.
+Without rows of both classes the score is the smoothed share of toxic rows. Extra columns are ignored; repeated
+rows get a row each.
 """
 
 from __future__ import annotations
@@ -35,7 +38,8 @@ SAMPLE_ROWS = 2500
 SAMPLE_BYTES = 5 << 20
 WINDOW = 32
 SHORTEST, LONGEST = 5, 14
-SEGMENTS, SEGMENT_BYTES, BASE_BYTES = 300, 6000, 16384
+#: Bytes of each dictionary: own segments and base; and bytes of text that the base is made of.
+SEGMENT_BYTES, BASE_BYTES, BASE_TEXT = 6000, 16384, 2 << 20
 TO_SPACE = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 #: Starting repeat offsets that end the header of a trained dictionary (a fixed value of the format).
 REPEATS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
@@ -100,16 +104,26 @@ def telling(own: Counter, n_own: int, other: Counter, n_other: int) -> list[byte
     kept: list[bytes] = []
     for _, s in sorted(found, reverse=True):
         parents = [own[k] for k in kept if k.startswith(s)]
-        if len(kept) < SEGMENTS and (not parents or s.endswith(b" ") or own[s] >= 1.5 * max(parents)):
+        if not parents or s.endswith(b" ") or own[s] >= 1.5 * max(parents):
+            if sum(map(len, kept)) + len(s) > SEGMENT_BYTES:
+                break
             kept.append(s)
     return kept
 
 
+def shape() -> zstandard.ZstdCompressionParameters:
+    """How windows are compressed: small frames without any head."""
+    return zstandard.ZstdCompressionParameters(
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0, window_log=17, hash_log=17, chain_log=17,
+        search_log=5, target_length=48, min_match=4, strategy=zstandard.STRATEGY_BTOPT,
+    )
+
+
 class Model:
-    """Two dictionaries and the calibration of their differences."""
+    """Two dictionaries, trained ones or plain content, and the calibration of their differences."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes, weights: list[float]):
-        self.toxic, self.ordinary, self.weights = toxic, ordinary, weights
+    def __init__(self, toxic: bytes, ordinary: bytes, weights: list[float], trained: bool = True):
+        self.toxic, self.ordinary, self.weights, self.trained = toxic, ordinary, weights, trained
         self.compressors: list | None = None
 
     def __getstate__(self):
@@ -118,12 +132,9 @@ class Model:
     def differences(self, text: str | None) -> np.ndarray:
         """Per window: bytes that the toxic dictionary saves over the ordinary one."""
         if self.compressors is None:
-            shape = zstandard.ZstdCompressionParameters(
-                format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0, window_log=17, hash_log=17,
-                chain_log=17, search_log=5, target_length=48, min_match=4, strategy=zstandard.STRATEGY_BTOPT,
-            )
+            kind = zstandard.DICT_TYPE_FULLDICT if self.trained else zstandard.DICT_TYPE_RAWCONTENT
             self.compressors = [
-                zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=shape) for d in (self.ordinary, self.toxic)
+                zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), compression_params=shape()) for d in (self.ordinary, self.toxic)
             ]
         plain, toxic = (c.compress for c in self.compressors)
         return np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)], np.int64)
@@ -159,13 +170,31 @@ def calibrates(doc_id: int) -> bool:
     return zlib.crc32(b"calibrate " + str(doc_id).encode()) % 3 == 0
 
 
+def base_of(texts: list[str]) -> tuple[bytes, bytes]:
+    """Head (entropy tables) and content of a dictionary that is trained on texts; no head where they hold too little.
+
+    It has no toxic text, or both sides would know its words.
+    """
+    base, held = [], 0
+    for text in texts:
+        for w in windows(text, 200):
+            if held < BASE_TEXT:
+                base.append(w)
+                held += len(w)
+    try:
+        trained = zstandard.train_dictionary(min(BASE_BYTES, max(held // 4, 1024)), base, k=32, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b"", b"".join(base)
+    cut = trained.index(REPEATS) + len(REPEATS)
+    return trained[:cut], trained[cut:]
+
+
 def fit(sample: list[tuple], toxic_share: float | None = None) -> Model:
     """A model of (id, text, label 0 or 1) rows; ``toxic_share`` is the share of label 1 among all labelled rows."""
     texts = {k: [t for i, t, y in sample if y == k and not calibrates(i)] for k in (0, 1)}
     held = [(t, y) for i, t, y in sample if calibrates(i)]
     share = (sum(y for *_, y in sample) + 0.5) / (len(sample) + 1) if toxic_share is None else toxic_share
-    base = [w for t in texts[0][:800] for w in windows(t, 200)]  # without toxic text, or both sides would know its words
-    if not texts[0] or not texts[1] or len({y for _, y in held}) < 2 or sum(map(len, base)) < 4 * BASE_BYTES:
+    if not texts[0] or not texts[1] or len({y for _, y in held}) < 2:
         return Model(b"", b"", [share])
     toxic, n_toxic = contexts(texts[1])
     plain, n_plain = contexts(texts[0], {s for s, c in toxic.items() if c >= 3})
@@ -173,13 +202,12 @@ def fit(sample: list[tuple], toxic_share: float | None = None) -> Model:
     plain, n_plain = contexts(texts[0])
     plain = Counter({s: c for s, c in plain.items() if c >= 3})
     others = telling(plain, n_plain, toxic, n_toxic)
-    trained = zstandard.train_dictionary(BASE_BYTES, base, k=32, d=8).as_bytes()
-    cut = trained.index(REPEATS) + len(REPEATS)
+    cut, content = base_of(texts[0])
 
-    def dictionary(found: list[bytes]) -> bytes:
-        return trained[:cut] + (b"".join(reversed(found)) + b" " * SEGMENT_BYTES)[:SEGMENT_BYTES] + trained[cut:]
+    def dictionary(found: list[bytes]) -> bytes:  # of one length; what stands last is the cheapest to refer to
+        return cut + b"".join(reversed(found)).rjust(SEGMENT_BYTES) + content
 
-    model = Model(dictionary(own), dictionary(others), [])
+    model = Model(dictionary(own), dictionary(others), [], bool(cut))
     x, y = np.array([model.features(t) for t, _ in held]), np.array([float(y) for _, y in held])
     model.weights = logistic(x, y)
     drawn = min(max(y.mean(), 1e-3), 1 - 1e-3)  # the sample may hold another share of the classes than the table

@@ -3,16 +3,18 @@
 Writing: one record per page, as an HTTP response. Of the pages with equal payloads of at least ``least`` bytes,
 the one with the smallest id is a response and the others are revisits without payload. Archives go through
 Spark's own text writer (a record's last line feed is the writer's separator), so they are committed like
-any table and live in whatever store the shared folder is in. ``ARCHIVE_BYTES`` bounds an archive.
-
-Reading: archives of plain records or of gzip members. A record must have a version line, its fields, all of
-its block, the closing blank lines, and the digests that it states. Where a check fails, the reader searches
-for the next gzip member or version line that passes all of them, goes on from there, and logs the bytes
-in between as a quarantined gap.
-
-Defined results: null payloads are empty. Rows with equal id and payload are all responses if their id is the
-smallest; null ids never are the smallest, unless all are null. A null url gives no target field. Extra
-columns are ignored; an empty table gives an empty archive.
+any table and live in whatever store the shared folder is in. Tasks put records together to chunks of
+``CHUNK_BYTES`` and archives of ``ARCHIVE_BYTES``; larger records are written apart, so they don't thin out the rest.
+
+Reading: archives of plain records, of gzip members with one record or several, or of both. A record must have a
+version line, its fields, all of its block, the closing blank lines, and the digests that it states. Where a check
+fails, the reader searches for whichever comes next, gzip member or version line, that passes all of them, goes on
+from there, and logs the bytes in between as a quarantined gap. What a broken member gives before it breaks is
+searched for records as well. An archive is read whole by one task.
+
+Ids are integers (cast to long). Defined results: null payloads are empty. Rows with equal id and payload are all
+responses if their id is the smallest; null ids never are the smallest, unless all are null. A null url gives no
+target field. Extra columns are ignored; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -28,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import BROADCAST_BYTES, bounded_batches, scratch, stored
+from pagewarden.llm.common import bounded_batches, fits, scratch, stored
 
-#: No archive is larger, unless a single record is.
-ARCHIVE_BYTES = 128 << 20
+#: No archive is larger, unless a single record is; and what a task puts together to a row.
+ARCHIVE_BYTES, CHUNK_BYTES = 128 << 20, 8 << 20
+#: More than what a record has besides its payload and its url.
+HEAD_BYTES = 4096
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
+EITHER = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 FIELDS = ("warc-type", "warc-record-id", "content-length")
@@ -65,7 +70,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 class Found(NamedTuple):
-    """A record, or a gap (with a reason)."""
+    """A record, or a gap (with a reason).
+
+    The bytes of a member count for its first record; ``inner`` is where a record starts in the member's plain bytes.
+    """
 
     offset: int
     length: int
@@ -73,10 +81,15 @@ class Found(NamedTuple):
     fields: dict[str, str]
     payload: bytes
     payload_bytes: int
+    inner: int | None = None
 
 
 class Damaged(Exception):
-    """A check failed."""
+    """A check failed; ``found`` has what could be read all the same."""
+
+    def __init__(self, reason: str, found: tuple[Found, ...] = ()):
+        super().__init__(reason)
+        self.found = found
 
 
 def parse(data: bytes, at: int) -> Found:
@@ -111,48 +124,61 @@ def parse(data: bytes, at: int) -> Found:
     return Found(at, stop + 4 - at, None, fields, payload, size)
 
 
-def parse_member(data: bytes, at: int) -> Found:
-    """The record in the gzip member at an offset."""
-    if data[at : at + 3] != MEMBER:
-        raise Damaged("no gzip member")
-    member, parts, fed = zlib.decompressobj(31), [], at
-    try:
-        while not member.eof and fed < len(data):  # in pieces, as what is left over is copied
-            parts.append(member.decompress(data[fed : fed + (1 << 16)]))
-            fed += 1 << 16
-    except zlib.error as e:
-        raise Damaged("gzip check") from e
+def scan(data: bytes, signs: re.Pattern, read) -> Iterator[Found]:
+    """Records that ``read(data, at)`` gives, with their end, one after another; and the gaps between them."""
+    at, lost, reason = 0, 0, None
+    while at < len(data):
+        try:
+            found, end = read(data, at)
+        except Damaged as e:
+            yield from e.found
+            reason, sign = reason or str(e), signs.search(data, at + 1)
+            at = sign.start() if sign else len(data)
+            continue
+        if lost < at:
+            yield Found(lost, at - lost, reason, {}, b"", 0)
+        yield from found
+        at = lost = end
+        reason = None
+    if lost < len(data):
+        yield Found(lost, len(data) - lost, reason, {}, b"", 0)
+
+
+def plain_record(data: bytes, at: int) -> tuple[list[Found], int]:
+    found = parse(data, at)
+    return [found], at + found.length
+
+
+def member_records(data: bytes, at: int) -> tuple[list[Found], int]:
+    """The records of the gzip member at an offset, and the gaps between them."""
+    member, parts, fed, step, reason = zlib.decompressobj(31), [], at, 1 << 16, None
+    while not member.eof and fed < len(data):  # in pieces, as what is left over is copied
+        before = member.copy()
+        try:
+            parts.append(member.decompress(data[fed : fed + step]))
+            fed += step
+        except zlib.error:
+            if step == 16:
+                reason = "gzip check"
+                break
+            member, step = before, step // 16  # a call that fails gives nothing: up to the break in smaller ones
     if not member.eof:
-        raise Damaged("gzip member without an end")
-    plain, fed = b"".join(parts), min(fed, len(data))
-    found = parse(plain, 0)
-    if found.length != len(plain):
-        raise Damaged("more than a record in a member")
-    return found._replace(offset=at, length=fed - len(member.unused_data) - at)
+        reason = reason or "gzip member without an end"
+    end = min(fed, len(data)) - len(member.unused_data)
+    found = [x._replace(offset=at, length=0, inner=x.offset) for x in scan(b"".join(parts), VERSION, plain_record)]
+    records = tuple(x for x in found if not x.reason)
+    if reason or not records:
+        raise Damaged(reason or "no record in a member", records)
+    return [found[0]._replace(length=end - at), *found[1:]], end
+
+
+def either(data: bytes, at: int) -> tuple[list[Found], int]:
+    return (member_records if data.startswith(MEMBER, at) else plain_record)(data, at)
 
 
 def salvage(data: bytes) -> Iterator[Found]:
     """All records that can be read from an archive, and the gaps between them, in order."""
-    zipped = data[:2] == MEMBER[:2] or (not VERSION.match(data) and data.count(MEMBER) > len(VERSION.findall(data)))
-    read, sign = (parse_member, re.compile(re.escape(MEMBER))) if zipped else (parse, VERSION)
-    at = 0
-    while at < len(data):
-        try:
-            found = read(data, at)
-        except Damaged as e:
-            reason = str(e)
-            for sign_at in sign.finditer(data, at + 1):
-                try:
-                    found = read(data, sign_at.start())
-                    break
-                except Damaged:
-                    continue
-            else:
-                yield Found(at, len(data) - at, reason, {}, b"", 0)
-                return
-            yield Found(at, found.offset - at, reason, {}, b"", 0)
-        yield found
-        at = found.offset + found.length
+    return scan(data, EITHER, either)
 
 
 def payload_digests(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
@@ -176,35 +202,49 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     firsts = known.where(F.col("size") >= least).groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     repeats = known.join(firsts.drop("n"), ["digest", "size"]).where("id is null or id > first").where("first is not null")
     repeats = stored(repeats.groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("digest", "first")).alias("_refs")), "repeats")
-    n, largest = repeats.count(), known.agg(F.max("size")).first()[0] or 0
-    if n * 100 <= BROADCAST_BYTES:
+    largest = known.agg(F.max("size")).first()[0] or 0
+    if fits(repeats.count(), 256):
         repeats = F.broadcast(repeats)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(payload_col).cast("binary").alias("payload"))
     rows = rows.join(repeats, F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "url", "payload", "_refs")
+    chunk = CHUNK_BYTES
 
     def made(batches):
+        held, size = [], 0
+
+        def put_together():
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])  # the writer adds the line feed
+
         for batch in batches:
-            out = []
             for i, url, payload, refs in zip(*(c.to_pylist() for c in batch.columns)):
                 payload = payload or b""
                 refers_to = {r["digest"]: r["first"] for r in refs}.get(digest(payload)) if refs else None
-                out.append(record(i, url, payload, refers_to)[:-1])  # the writer adds the line feed
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-
-    per_file = max(1, ARCHIVE_BYTES // (largest + 2048))
-    records = rows.mapInArrow(made, "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
+                new = record(i, url, payload, refers_to)
+                if held and size + len(new) > chunk:
+                    yield put_together()
+                    held, size = [], 0
+                held.append(new)
+                size += len(new)
+        if held:
+            yield put_together()
+
+    bytes_of = F.coalesce(F.octet_length("payload"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)) + HEAD_BYTES
+    small = (F.lit(True) if largest + HEAD_BYTES <= chunk else bytes_of <= chunk, max(1, ARCHIVE_BYTES // chunk))
+    parts = [small] if largest + HEAD_BYTES <= chunk else [small, (bytes_of > chunk, max(1, ARCHIVE_BYTES // (largest + HEAD_BYTES)))]
+    for which, per_file in parts:
+        records = rows.where(which).mapInArrow(made, "value binary").select(F.col("value").cast("string").alias("value"))
+        records.write.mode("append").option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """Every record and gap of the archives in a folder.
 
-    A gap has a reason and no record fields. Columns: archive, start, length, reason, record_type, record_id,
+    A gap has a reason and no record fields. Columns: archive, start, length, inner, reason, record_type, record_id,
     target_uri, payload_digest, payload_bytes, refers_to, payload (null unless asked for).
     """
     bounded_batches(spark)
     schema = pa.schema(
-        [("archive", pa.string()), ("start", pa.int64()), ("length", pa.int64())]
+        [("archive", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("inner", pa.int64())]
         + [(n, pa.string()) for n in ("reason", "record_type", "record_id", "target_uri", "payload_digest")]
         + [("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("payload", pa.binary())]
     )
@@ -214,7 +254,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
             f = x.fields
             stated = f.get("warc-payload-digest", "").removeprefix("sha1:")
             yield (
-                archive, x.offset, x.length, x.reason, f.get("warc-type"), f.get("warc-record-id"), f.get("warc-target-uri"),
+                archive, x.offset, x.length, x.inner, x.reason, f.get("warc-type"), f.get("warc-record-id"), f.get("warc-target-uri"),
                 None if x.reason else stated or digest(x.payload), None if x.reason else x.payload_bytes, f.get("warc-refers-to"),
                 x.payload if with_payload and not x.reason else None,
             )
@@ -231,7 +271,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
-    kinds = "archive string, start long, length long, reason string, record_type string, record_id string, target_uri string, payload_digest string"
+    kinds = "archive string, start long, length long, inner long, reason string, record_type string, record_id string, target_uri string, payload_digest string"
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
     return files.mapInArrow(salvaged, kinds + ", payload_bytes long, refers_to string, payload binary")
 

@@ -1,9 +1,11 @@
 """Language identification, toxicity and URL filters: held-out accuracy and defined results."""
 
+import itertools
 import math
 import random
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from pagewarden.llm import catalog, langid, toxicity, urlfilter
@@ -53,6 +55,64 @@ def test_mixtures(languages):
     assert list(mixed) == ["z", "x"] and abs(mixed["x"] - 0.25) < 0.1 and abs(sum(mixed.values()) - 1) < 1e-6
 
 
+def by_brute_force(model, text):
+    """The best set of up to three of all models, by plain expectation-maximisation."""
+    logs = model.words(text)
+    prices = [langid.PENALTY * 0.5 * math.log(len(logs) + 1)] * len(model.languages) + [langid.PENALTY * 0.5 * math.log(len(logs) + 1) + langid.NOISE_PENALTY]
+    best = None
+    for size in (1, 2, 3):
+        for chosen in itertools.combinations(range(logs.shape[1]), size):
+            if chosen == (len(model.languages),):
+                continue
+            shares = [1 / size] * size
+            for _ in range(300):
+                totals = [0.0] * size
+                for row in logs[:, chosen].tolist():
+                    likely = [math.exp(x - max(row)) * s for x, s in zip(row, shares)]
+                    totals = [t + x / sum(likely) for t, x in zip(totals, likely)]
+                shares = [t / len(logs) for t in totals]
+            fit = sum(max(row) + math.log(sum(math.exp(x - max(row)) * s for x, s in zip(row, shares))) for row in logs[:, chosen].tolist())
+            value = fit - sum(prices[k] for k in chosen) + min(prices[k] for k in chosen)
+            if best is None or value > best[0]:
+                best = value, dict(zip(chosen, shares))
+    return {model.languages[k]: s for k, s in best[1].items() if k < len(model.languages)}
+
+
+def test_mixtures_against_brute_force(languages):
+    rng = random.Random(11)
+    for mixed in (("x",), ("x", "y"), ("y", "z"), ("x", "y", "z")):
+        text = " ".join(text_in(rng, lang, words=40) for lang in mixed)
+        expected, got = by_brute_force(languages, text), languages.languages_of(text)
+        assert set(got) == set(expected) == set(mixed) and all(abs(got[k] - expected[k]) < 0.03 for k in got)
+
+
+def test_noise_is_no_language(languages, docs):
+    rng = random.Random(2)
+    junk = " ".join("".join(rng.choice("qjxkvwzb") for _ in range(rng.randint(3, 9))) for _ in range(60))
+    assert sum(languages.languages_of(junk).values()) < 0.2 and sum(languages.languages_of("мир " * 40).values()) < 0.2
+    rows = [(1, junk), (2, text_in(rng, "x")), (3, "baka"), (4, "мир " * 40), (5, text_in(rng, "y") + " " + junk[:100])]
+    assert sorted(r.doc_id for r in langid.keep_identified(docs(rows), languages).collect()) == [2, 3, 5]
+
+
+def test_letters_of_all_planes_and_no_other_characters(languages):
+    assert languages.languages_of("😀 𝟘𝟙 ١٢ ①") == {} and languages.languages_of("𝐛𝐚𝐤𝐚") and languages.languages_of("𐐀")
+
+
+def test_pieces_cut_no_word(languages, monkeypatch):
+    rng = random.Random(9)
+    text = text_in(rng, "x", "y", words=400)
+    whole = languages.words(text)
+    monkeypatch.setattr(langid, "PIECE", 7)
+    assert "".join(langid.pieces(text)) == text and len(languages.words(text)) == len(whole) == 400
+    assert abs(languages.words(text) - whole).max() < 1e-3
+
+
+def test_every_label_is_learnt(spark):
+    rows = [(10 * k + i, f"w{chr(0x4E00 + k)}{chr(0x5E00 + k)} {i}", f"l{k}") for k in range(600) for i in range(2)]
+    model = langid.train(spark.createDataFrame(rows, "id long, text string, label string"))
+    assert len(model.languages) == 600 and next(iter(model.languages_of(rows[-1][1]))) == "l599"
+
+
 def test_language_of_odd_texts(spark, docs, odd, languages):
     got = langid.identify(docs([*odd, (9, "123 --- 456"), (10, "BAKA miLO" * 30_000)]), languages).collect()
     und = {(r.id, r.lang_pred, r.score) for r in got if r.lang_pred == "und"}
@@ -95,6 +155,35 @@ def test_copies_count_once():
     assert seen[0][b" uncommon"] <= 4 and toxicity.contexts(t for _, t, _ in sample)[1] > 1000
 
 
+def test_windows_and_lengths_by_brute_force():
+    model, text = toxicity.fit(toxic_sample()), toxic_sample(3)[0][1] + " " + "again " * 5
+    words = [w for k, w in enumerate(toxicity.words_of(text)) if k == 0 or w != toxicity.words_of(text)[k - 1]]
+    expected, run = [], []
+    for w in words:
+        run.append(w)
+        if sum(len(x) + 1 for x in run) >= toxicity.WINDOW:
+            expected.append(b" " + b" ".join(run) + b" ")
+            run = []
+    expected += [b" " + b" ".join(run) + b" "] if run else []
+    assert list(toxicity.windows(text)) == expected
+    found = model.differences(text)
+    for w, d in zip(expected, found.tolist()):
+        lengths = []
+        for content in (model.ordinary, model.toxic):
+            made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_FULLDICT if model.trained else zstandard.DICT_TYPE_RAWCONTENT)
+            lengths.append(len(zstandard.ZstdCompressor(dict_data=made, compression_params=toxicity.shape()).compress(w)))
+        assert d == lengths[0] - lengths[1]
+
+
+def test_few_and_short_texts_are_learnt_from():
+    rng = random.Random(1)
+    plain = lambda: " ".join(rng.choice("a note on the plain state of many small things and their uses in time".split()) for _ in range(8))
+    sample = [(i, plain() + (f" you {rng.choice('utter total real'.split())} schuft {rng.choice('now then here'.split())}" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(300)]
+    model = toxicity.fit(sample)
+    assert model.toxic and model.score(plain() + " you utter schuft now") >= model.score(plain())
+    assert toxicity.base_of(["a b"])[0] == b"" and toxicity.fit([(i, "a b", i % 2) for i in range(20)]).score("a b") <= 1
+
+
 def test_toxicity_of_odd_texts(docs, odd):
     model = toxicity.fit(toxic_sample())
     got = {r.id: r.score for r in toxicity.scores(docs(odd), model).collect() if r.id is not None}
@@ -150,3 +239,14 @@ def test_url_verdicts(spark):
     assert urlfilter.train(pages.where("page_id < 200")) is None
     assert {r.verdict for r in urlfilter.judge(pages, [], None).collect()} == {"allow"}
     assert urlfilter.judge(pages.limit(0), [], ratio).count() == 0
+    rules = urlfilter.Rules([("allow", "kr/a"), ("block", "kr/a")])
+    assert rules.fitting("x.kr", "/ab") == ("kr/a", "allow")
+    long = spark.createDataFrame([(1, "http://lucky-casino1.kr/" + "go/" * 400_000), (2, "http://anews1.kr/" + "p/" * 400_000)], "page_id long, url string")
+    assert [len(r.path) for r in urlfilter.judge(long, [], ratio).orderBy("id").collect()] == [1_200_001, 800_001]
+
+
+def test_url_labels_of_a_table(spark):
+    urls = [(f"http://a.kr/{w}/{i}", w != "bad") for i in range(60) for w in ("fine", "good", "bad")]
+    labels = spark.createDataFrame([*urls, *urls, *urls[:9] * 50, (None, True), ("http://a.kr/?", None)], "url string, accepted boolean")
+    ratio = urlfilter.train(labels, labels=labels)
+    assert ratio.score("a.kr/bad/99") > ratio.threshold > ratio.score("a.kr/good/99")

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
@@ -65,3 +66,30 @@ def test_few_labels_prove_nothing(docs, spark):
     rows = [(i, " ".join(f"w{i}{k}##" for k in range(30))) for i in range(40)]
     labels = spark.createDataFrame([(i, 1 if i < 39 else None) for i in range(40)], "doc_id long, quality int")
     assert all(r.kept for r in quality.judge(docs(rows), labels).collect())
+
+
+def test_families_of_strata_lose_too_much_no_oftener_than_delta(spark):
+    """Each stratum is a draw of its own: good documents whose scores exceed the cutoffs of step i with a known probability."""
+    rng, draws, n = random.Random(6), 400, 150
+    limits = quality.CUTOFFS["symbols"]
+    rates = [0.002 * 1.6**i for i in range(len(limits))]  # crosses alpha between two steps
+
+    def drawn():
+        u = rng.random()
+        first = next((i for i, r in enumerate(rates) if u < r), None)  # fails from this step on
+        return 0.0 if first is None else limits[first] + 1e-6
+
+    rows = [(str(d), 1000, int(1000 * drawn()), 0, 100, 0, 5000) for d in range(draws) for _ in range(n)]
+    good = spark.createDataFrame(rows, "stratum string, n_words long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, word_chars long")
+    good = good.withColumn("n_symbols", F.col("n_symbols") + F.when(F.col("n_symbols") > 0, 1).otherwise(0))
+    chosen = quality.thresholds(good, {"symbols": limits}, alpha=0.05, delta=0.05 * draws).collect()
+    assert len(chosen) > 0.9 * draws
+    beyond = sum(rates[r.step] > 0.05 for r in chosen)
+    assert beyond <= 0.05 * draws + 3 * math.sqrt(draws * 0.05 * 0.95)
+
+
+def test_a_hundred_good_documents_choose_a_step(docs, spark):
+    rows = [(i, " ".join(f"word{i}x{k}" for k in range(30))) for i in range(100)] + [(500, "***bad*** " * 3 + " ".join(f"##{k}##" for k in range(40)))]
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+    got = {r.id: r for r in quality.judge(docs(rows), labels).collect()}
+    assert all(got[i].kept for i in range(100)) and not got[500].kept and "symbols" in got[500].failed_rules

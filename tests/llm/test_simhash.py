@@ -4,7 +4,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagewarden.llm import simhash
+from pagewarden.llm import groups, simhash
 
 
 def brute_fingerprint(text, size=3):
@@ -69,6 +69,18 @@ def test_ids_of_several_texts(docs):
     check(docs, [(1, a), (5, a), (5, b), (7, b), (9, c), (3, c), (9, d), (3, a), (11, d), (12, "x y z w"), (12, "v u t s r")])
 
 
+def test_rows_without_an_id_link_others(docs):
+    base = "q w e r t y u i o p a s d f g h j k l z x c v b n m " * 3
+    fps = {}
+    for k in range(1500):  # texts within three bits of each other in a chain, the middle ones without ids
+        fps.setdefault(brute_fingerprint(base + f"tail{k}"), base + f"tail{k}")
+    chain = next(
+        [fps[a], fps[b], fps[c]] for a in list(fps)[:60] for b in fps if 0 < (a ^ b).bit_count() <= 3 for c in fps if 0 < (b ^ c).bit_count() <= 3 < (a ^ c).bit_count()
+    )
+    expected = check(docs, [(9, chain[0]), (None, chain[1]), (4, chain[2]), (None, "lone text of its own kind")])
+    assert expected == [4, 4, 4, None]
+
+
 def test_empty_table(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
     assert simhash.drop_near_duplicates(docs([])).count() == 0
@@ -88,7 +100,7 @@ def test_links_are_complete(spark, radius, segments):
 
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
-    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in groups.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 0), **dict.fromkeys(range(101, 130), 100)}
 
 
