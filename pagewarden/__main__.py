@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from pagewarden.operators.evidence import Settings
+from pagewarden.plans import shared
 from pagewarden.sources import crawl, exports, html, whitelist
 
 
@@ -41,12 +42,11 @@ def run(spark: SparkSession, chosen: argparse.Namespace) -> None:
     if chosen.format != "tables":
         for row in crawls.select("crawl_id").toLocalIterator():
             report = exports.report(crawls, row.crawl_id, settings)
-            name = Path(chosen.out) / Path(row.crawl_id).stem
-            name.parent.mkdir(parents=True, exist_ok=True)
-            name.with_suffix(".json").write_text(exports.to_json(report), encoding="utf-8")
-            name.with_suffix(".csv").write_bytes(exports.to_csv(report))
-            name.with_suffix(".html").write_text(exports.to_html(report), encoding="utf-8")
-            print(*exports.to_console(report), *exports.figures(report), sep="\n")
+            name = f"{chosen.out}/{Path(row.crawl_id).stem}"
+            for ending, data in ((".json", exports.to_json(report).encode()), (".csv", exports.to_csv(report)), (".html", exports.to_html(report).encode())):
+                shared.write_file(spark, name + ending, data)
+            print(*exports.to_console(report), *report["figures"], sep="\n")
+            shared.forget(spark)
 
 
 if __name__ == "__main__":

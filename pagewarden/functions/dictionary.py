@@ -1,8 +1,6 @@
 """The keyword dictionary: what to look for, of which category, with which weight.
 
-Any dictionary can be given to the engine; the default one is below. An entry is ``word/weight`` with
-optional marks: ``strict`` (not right after a Hangul syllable) and ``!a|b`` (not before a or b). Entries of
-the section ``latin`` must not follow a Latin letter and name their category themselves.
+Any dictionary can be given to the engine; the default one is below, as a plain table.
 """
 
 from __future__ import annotations
@@ -11,34 +9,6 @@ import re
 from dataclasses import dataclass
 from functools import cached_property
 
-# Categories, words, weights and marks that results must agree on, in their order.
-DEFAULT = """
-[도박]
-카지노/3, 바카라/3, 토토사이트/3, 사설토토/3, 먹튀/3, 슬롯사이트/3, 메이저놀이터/3, 꽁머니/3, 첫충/3, 매충/3, 파워볼/3,
-안전놀이터/2, 베팅/2, 배팅/2, 홀덤/2, 가입코드/2, 추천코드/2, 입금 보너스/2, 사다리게임/2, 스포츠토토/2,
-토토/1/strict, 슬롯/1/strict, 룰렛/1, 환전/1
-[성인]
-야동/3, 성인방송/3, 조건만남/3, 원조교제/3, 출장안마/3, 출장마사지/3, 섹스/3, 립카페/3, 키스방/3,
-오피/2/strict/!스|니|셜, 몰카/2, 19금/2, 룸살롱/2, 룸싸롱/2, 성인용품/2, 성인/1/strict, 무료 영상/1, 유흥/1
-[불법금융]
-카드깡/3, 휴대폰깡/3, 신용카드현금화/3, 소액결제현금화/3, 정보이용료현금화/3, 내구제/3
-[작업대출]
-작업대출/3, 대출작업/3, 서류작업/3, 재직작업/3, 무직자작업/3, 무직자대출/2, 신불자대출/2, 연체자대출/2, 당일대출/2, 급전/2, 대출/1
-[대포통장]
-대포통장/3, 통장매입/3, 통장매매/3, 통장삽니다/3, 통장구매/3, 통장임대/3, 법인통장매입/3, 대포폰/3, 대포유심/3, 유심매입/3,
-통장대여/2, 계좌대여/2, 명의대여/2, 체크카드매입/2, 법인통장/1
-[불법환전]
-환치기/3, 불법환전/3, 코인세탁/3, 자금세탁 대행/3, 테더매입/3, 테더판매/3, 환전대행/2, 코인환전/2, 테더환전/2, 상품권매입/2
-[마약]
-필로폰/3, 물뽕/3, 엑스터시/3, 케타민/3, 야바/3/strict/!바|위|간|구|외|채, 빙두/3, 떨액/3, 액상대마/3, 대마젤리/3, 대마쿠키/3,
-아이스작대기/3, 마약판매/3, 마약구매/3, 마약구입/3, 대마초/2, 코카인/2, 헤로인/2, 사티바/2, 던지기 거래/2, 좌표 거래/2,
-마약/1/strict, 대마/1/strict/!도|을|루|디|른
-[불법의약품]
-비아그라/3, 시알리스/3, 레비트라/3, 낙태약/3, 미프진/3, 발기부전/1
-[latin]
-casino/3/도박, baccarat/3/도박, powerball/3/도박, porn/3/성인, viagra/3/불법의약품, cialis/3/불법의약품, ketamine/3/마약,
-meth/2/마약, usdt/2/불법환전
-"""
 OTHER_CATEGORY = "기타"
 STRONG, MEDIUM = 3, 2
 #: What may stand between the characters of a strong word of three characters or more.
@@ -47,6 +17,8 @@ SEPARATOR = r"[\s·.\-_*|/]{0,2}"
 
 @dataclass(frozen=True)
 class Keyword:
+    """A word. ``strict``: not right after a Hangul syllable; ``not_before``: what may not follow; ``latin``: not after a Latin letter."""
+
     word: str
     category: str
     weight: int
@@ -67,31 +39,41 @@ class Keyword:
         """The regular expression, without flags; the same for Python and, under ``(?iuU)``, for Java."""
         if self.latin:
             return f"(?<![a-z]){self.word}"
-        if self.weight == STRONG and len(self.bare) >= 3:
-            body = SEPARATOR.join(map(re.escape, self.bare))
-        else:
-            body = r"\s*".join(map(re.escape, self.word.split()))
-        return ("(?<![가-힣])" if self.strict else "") + body + (f"(?!{self.not_before})" if self.not_before else "")
+        spaced = self.weight == STRONG and len(self.bare) >= 3
+        letters, between = (self.bare, SEPARATOR) if spaced else (self.word.split(), r"\s*")
+        guards = "(?<![가-힣])" if self.strict else "", f"(?!{self.not_before})" if self.not_before else ""
+        return between.join(map(re.escape, letters)).join(guards)
 
     @cached_property
     def pattern(self) -> re.Pattern:
         return re.compile(self.source, re.IGNORECASE)
 
 
-def read(text: str) -> list[Keyword]:
-    """The entries of a dictionary in the format above."""
-    found: list[Keyword] = []
-    for section in re.split(r"^\[", text, flags=re.M)[1:]:
-        name, _, body = section.partition("]")
-        for entry in filter(None, (e.strip() for e in body.split(","))):
-            word, weight, *marks = entry.split("/")
-            latin = name == "latin"
-            found.append(
-                Keyword(
-                    word, marks[0] if latin else name, int(weight), "strict" in marks, next((m[1:] for m in marks if m.startswith("!")), ""), latin
-                )
-            )
-    return found
-
-
-KEYWORDS = read(DEFAULT)
+# Words, categories, weights and limits that results must agree on, in their order.
+KEYWORDS = [
+    Keyword("카지노", "도박", 3), Keyword("바카라", "도박", 3), Keyword("토토사이트", "도박", 3), Keyword("사설토토", "도박", 3), Keyword("먹튀", "도박", 3), Keyword("슬롯사이트", "도박", 3),
+    Keyword("메이저놀이터", "도박", 3), Keyword("꽁머니", "도박", 3), Keyword("첫충", "도박", 3), Keyword("매충", "도박", 3), Keyword("파워볼", "도박", 3), Keyword("안전놀이터", "도박", 2),
+    Keyword("베팅", "도박", 2), Keyword("배팅", "도박", 2), Keyword("홀덤", "도박", 2), Keyword("가입코드", "도박", 2), Keyword("추천코드", "도박", 2), Keyword("입금 보너스", "도박", 2),
+    Keyword("사다리게임", "도박", 2), Keyword("스포츠토토", "도박", 2), Keyword("토토", "도박", 1, strict=True), Keyword("슬롯", "도박", 1, strict=True), Keyword("룰렛", "도박", 1),
+    Keyword("환전", "도박", 1), Keyword("야동", "성인", 3), Keyword("성인방송", "성인", 3), Keyword("조건만남", "성인", 3), Keyword("원조교제", "성인", 3), Keyword("출장안마", "성인", 3),
+    Keyword("출장마사지", "성인", 3), Keyword("섹스", "성인", 3), Keyword("립카페", "성인", 3), Keyword("키스방", "성인", 3),
+    Keyword("오피", "성인", 2, strict=True, not_before="스|니|셜"), Keyword("몰카", "성인", 2), Keyword("19금", "성인", 2), Keyword("룸살롱", "성인", 2),
+    Keyword("룸싸롱", "성인", 2), Keyword("성인용품", "성인", 2), Keyword("성인", "성인", 1, strict=True), Keyword("무료 영상", "성인", 1), Keyword("유흥", "성인", 1),
+    Keyword("카드깡", "불법금융", 3), Keyword("휴대폰깡", "불법금융", 3), Keyword("신용카드현금화", "불법금융", 3), Keyword("소액결제현금화", "불법금융", 3), Keyword("정보이용료현금화", "불법금융", 3),
+    Keyword("내구제", "불법금융", 3), Keyword("작업대출", "작업대출", 3), Keyword("대출작업", "작업대출", 3), Keyword("서류작업", "작업대출", 3), Keyword("재직작업", "작업대출", 3),
+    Keyword("무직자작업", "작업대출", 3), Keyword("무직자대출", "작업대출", 2), Keyword("신불자대출", "작업대출", 2), Keyword("연체자대출", "작업대출", 2), Keyword("당일대출", "작업대출", 2),
+    Keyword("급전", "작업대출", 2), Keyword("대출", "작업대출", 1), Keyword("대포통장", "대포통장", 3), Keyword("통장매입", "대포통장", 3), Keyword("통장매매", "대포통장", 3),
+    Keyword("통장삽니다", "대포통장", 3), Keyword("통장구매", "대포통장", 3), Keyword("통장임대", "대포통장", 3), Keyword("법인통장매입", "대포통장", 3), Keyword("대포폰", "대포통장", 3),
+    Keyword("대포유심", "대포통장", 3), Keyword("유심매입", "대포통장", 3), Keyword("통장대여", "대포통장", 2), Keyword("계좌대여", "대포통장", 2), Keyword("명의대여", "대포통장", 2),
+    Keyword("체크카드매입", "대포통장", 2), Keyword("법인통장", "대포통장", 1), Keyword("환치기", "불법환전", 3), Keyword("불법환전", "불법환전", 3), Keyword("코인세탁", "불법환전", 3),
+    Keyword("자금세탁 대행", "불법환전", 3), Keyword("테더매입", "불법환전", 3), Keyword("테더판매", "불법환전", 3), Keyword("환전대행", "불법환전", 2), Keyword("코인환전", "불법환전", 2),
+    Keyword("테더환전", "불법환전", 2), Keyword("상품권매입", "불법환전", 2), Keyword("필로폰", "마약", 3), Keyword("물뽕", "마약", 3), Keyword("엑스터시", "마약", 3),
+    Keyword("케타민", "마약", 3), Keyword("야바", "마약", 3, strict=True, not_before="바|위|간|구|외|채"), Keyword("빙두", "마약", 3), Keyword("떨액", "마약", 3),
+    Keyword("액상대마", "마약", 3), Keyword("대마젤리", "마약", 3), Keyword("대마쿠키", "마약", 3), Keyword("아이스작대기", "마약", 3), Keyword("마약판매", "마약", 3),
+    Keyword("마약구매", "마약", 3), Keyword("마약구입", "마약", 3), Keyword("대마초", "마약", 2), Keyword("코카인", "마약", 2), Keyword("헤로인", "마약", 2), Keyword("사티바", "마약", 2),
+    Keyword("던지기 거래", "마약", 2), Keyword("좌표 거래", "마약", 2), Keyword("마약", "마약", 1, strict=True), Keyword("대마", "마약", 1, strict=True, not_before="도|을|루|디|른"),
+    Keyword("비아그라", "불법의약품", 3), Keyword("시알리스", "불법의약품", 3), Keyword("레비트라", "불법의약품", 3), Keyword("낙태약", "불법의약품", 3), Keyword("미프진", "불법의약품", 3),
+    Keyword("발기부전", "불법의약품", 1), Keyword("casino", "도박", 3, latin=True), Keyword("baccarat", "도박", 3, latin=True), Keyword("powerball", "도박", 3, latin=True),
+    Keyword("porn", "성인", 3, latin=True), Keyword("viagra", "불법의약품", 3, latin=True), Keyword("cialis", "불법의약품", 3, latin=True),
+    Keyword("ketamine", "마약", 3, latin=True), Keyword("meth", "마약", 2, latin=True), Keyword("usdt", "불법환전", 2, latin=True),
+]

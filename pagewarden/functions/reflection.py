@@ -31,13 +31,14 @@ def params(matcher: Matcher, addresses: Column) -> Column:
     @pandas_udf(PARAMS)
     def found(urls: pd.Series) -> pd.Series:
         def one(us):
+            if us is None:
+                return []
             every = {(p["name"], p["value"]): p for u in reversed(us) for p in reversed(params_of(u))}
             return [judged(p) for p in reversed(every.values())]
 
         return urls.map(one)
 
-    asked = F.exists(addresses, lambda u: query(u) != "")
-    return F.when(asked, found(addresses)).otherwise(F.array().cast(PARAMS))
+    return found(F.when(F.exists(addresses, lambda u: query(u) != ""), addresses))  # null costs nothing
 
 
 def squeezed(text: Column) -> Column:
@@ -53,7 +54,9 @@ def reflected(params: Column, text: Column) -> Column:
 
 def _stripped(texts: pd.Series, values: pd.Series) -> pd.Series:
     def one(text, vs):
-        for v in vs if vs is not None else ():
+        if vs is None:
+            return None
+        for v in vs:
             letters = re.sub(r"\s+", "", v).lower()
             if letters:
                 text = re.sub(r"\s*".join(map(re.escape, letters)), " ", text, flags=re.IGNORECASE)
@@ -63,5 +66,5 @@ def _stripped(texts: pd.Series, values: pd.Series) -> pd.Series:
 
 
 def stripped(text: Column, values: Column) -> Column:
-    """The text without the values, however they are spaced."""
+    """The text without the values, however they are spaced; null for null values."""
     return pandas_udf(_stripped, "string")(text, values)

@@ -3,37 +3,51 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import SparkSession
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import Row, SparkSession
+from pyspark.sql.functions import pandas_udf, udtf
 
-from pagewarden.functions import urls
-from pagewarden.functions.matching import HIT_TYPE, SPAN_TYPE, Matcher
+from pagewarden.functions import matching, urls
+from pagewarden.functions.matching import Matcher
+from pagewarden.sources import html, sitemap
 
+ELEMENTS = "ord int, type string, selector string, content string, href string, src string, hidden boolean, hidden_reasons array<string>, links array<string>"
+ITEMS = "kind string, is_child boolean, ord int, url string, title string"
+
+
+class ExtractElements:
+    """Rows of the elements of a page."""
+
+    def eval(self, page: str, base: str):
+        for i, r in enumerate(html.extract(page, base)[2]):
+            found = [r.get(c) for c in ("type", "selector", "content", "href", "src")]
+            yield Row(i, *found, bool(r.get("hidden")), r.get("hidden_reasons") or [], r.get("links") or [])
 
-def register(spark: SparkSession, matcher: Matcher | None = None) -> list[str]:
-    """Make ad_hits, ad_spans, ad_normalize and query_params known to ``spark.sql``; returns the names."""
-    matcher = matcher or Matcher()
-    names = ("word", "category", "kind", "method", "original", "reading", "weight", "label")
 
-    @pandas_udf(HIT_TYPE)
-    def ad_hits(texts: pd.Series) -> pd.Series:
-        row = lambda h: (h.keyword.word, h.keyword.category, h.kind, h.method, h.original, h.reading, h.weight, h.label)
-        return texts.map(lambda t: [dict(zip(names, row(h))) for h in matcher.hits(t)])
+class ParseFeed:
+    """Rows of the addresses that a sitemap or feed lists."""
 
-    @pandas_udf(SPAN_TYPE)
-    def ad_spans(texts: pd.Series) -> pd.Series:
-        keys = ("word", "category", "weight", "start", "stop")
-        return texts.map(lambda t: [dict(zip(keys, (k.word, k.category, k.weight, a, b))) for k, a, b in matcher.spans(t or "")])
+    def eval(self, body: bytes, base: str):
+        found = sitemap.parse(bytes(body or b""), base or "")
+        listed = [(False, i["url"], i["title"]) for i in found["items"]] + [(True, u, "") for u in found["children"]]
+        for i, (below, url, title) in enumerate(listed):
+            yield Row(found["kind"], below, i, url, title)
 
-    @pandas_udf("string")
-    def ad_normalize(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else matcher.charmap.view(t))
+
+def register(spark: SparkSession, matcher: Matcher | None = None) -> list[str]:
+    """Make the functions known to ``spark.sql``; returns their names.
+
+    Scalar: ad_hits, ad_spans, ad_normalize, query_params. Tables: extract_elements(html, base), parse_feed(body, base).
+    """
+    matcher = matcher or Matcher()
 
     @pandas_udf(urls.PARAMS)
     def query_params(found: pd.Series) -> pd.Series:
         return found.map(urls.params_of)
 
-    every = {"ad_hits": ad_hits, "ad_spans": ad_spans, "ad_normalize": ad_normalize, "query_params": query_params}
-    for name, f in every.items():
+    scalar = {"ad_hits": matching.hits_udf(matcher), "ad_spans": matching.spans_udf(matcher), "ad_normalize": matching.normalized_udf(matcher), "query_params": query_params}
+    tables = {"extract_elements": udtf(ExtractElements, returnType=ELEMENTS), "parse_feed": udtf(ParseFeed, returnType=ITEMS)}
+    for name, f in scalar.items():
         spark.udf.register(name, f)
-    return list(every)
+    for name, f in tables.items():
+        spark.udtf.register(name, f)
+    return [*scalar, *tables]

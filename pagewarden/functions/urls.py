@@ -64,7 +64,7 @@ def normalized(url: Column | str) -> Column:
 def _joined(url: pd.Series, base: pd.Series) -> pd.Series:
     def one(u, b):
         try:
-            return urljoin(b or "", (u or "").strip())
+            return urljoin(b or "", u.strip()) if u else ""
         except ValueError:
             return ""
 
@@ -74,8 +74,9 @@ def _joined(url: pd.Series, base: pd.Series) -> pd.Series:
 def resolved(url: Column | str, base: Column | str) -> Column:
     """A URL as it reads on the page ``base``, normalised; empty if it isn't followed."""
     text = F.trim(_text(url))
-    joined = F.when(text.rlike(r"(?i)^https?://"), text).otherwise(pandas_udf(_joined, "string")(text, _text(base)))
-    return F.when((text == "") | text.rlike(SKIPPED_SCHEMES), "").otherwise(normalized(joined))
+    whole, left_out = text.rlike(r"(?i)^https?://"), (text == "") | text.rlike(SKIPPED_SCHEMES)
+    joined = pandas_udf(_joined, "string")(F.when(~whole & ~left_out, text), _text(base))  # null costs nothing
+    return F.when(left_out, "").otherwise(normalized(F.when(whole, text).otherwise(joined)))
 
 
 def root(name: Column) -> Column:
@@ -141,9 +142,9 @@ def _params(url: pd.Series) -> pd.Series:
 
 
 def params(url: Column | str) -> Column:
-    """Query parameters; Python is asked only where there is a query."""
+    """Query parameters. Python gets a URL only where there is a query, else null."""
     text = _text(url)
-    return F.when(query(text) != "", pandas_udf(_params, PARAMS)(text)).otherwise(F.array().cast(PARAMS))
+    return pandas_udf(_params, PARAMS)(F.when(query(text) != "", text))
 
 
 def heavy(url: Column | str) -> Column:
@@ -167,9 +168,12 @@ def refresh_target(content: Column | str) -> Column:
 
 
 def displayed(url: Column | str) -> Column:
-    """A URL as people read it."""
+    """A URL as people read it: percent signs decoded, and plus signs in the query."""
     text = _text(url)
-    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+    front, query_at = F.substring_index(text, "?", 1), F.instr(text, "?")
+    front = F.when(F.contains(front, F.lit("+")), F.replace(decoded(F.replace(front, F.lit("+"), F.lit("%2B"))), F.lit("%2B"), F.lit("+"))).otherwise(decoded(front))
+    return F.when(query_at > 0, F.concat(front, F.lit("?"), decoded(F.substring(text, query_at + 1, F.length(text))))).otherwise(front)
 
 
 # Names of parameters that carry what a visitor searches for, and parts of such names.

@@ -25,6 +25,7 @@ STANDING_TEXT = (
     r"오시는\s*길|찾아\s*오시는|제휴|광고\s*문의|고객\s*센터|회사\s*소개|통계|책임\s*한계|privacy|terms|policy|copyright|sitemap|contact|about\s*us|disclaimer"
 )
 SHORT_PAGE, SCREEN_TEXT, LEAST_SCREEN, REPEATED = 800, 5000, 20, 3
+SCREEN_PARTS = 1024
 BACKOFF_LEAST, BACKOFF_MOST, STOP_AFTER, FORBIDDEN_RUN = 2.0, 30.0, 3, 3
 
 
@@ -91,10 +92,15 @@ def same_screens(pages: DataFrame) -> DataFrame:
     per_url = rows.groupBy("crawl_id", "screen", "url").agg(
         F.min("page_ord").alias("page_ord"), F.bool_or(moved | F.coalesce("regated", F.lit(False))).alias("odd"), F.min_by(F.coalesce("title", F.lit("")), "page_ord").alias("title")
     )
-    groups = per_url.groupBy("crawl_id", "screen").agg(
-        F.count("*").alias("count"), F.bool_or("odd").alias("odd"), F.min_by("title", "page_ord").alias("title"), F.min("page_ord").alias("first"),
+    part = F.pmod(F.xxhash64("url"), F.lit(SCREEN_PARTS)).alias("part")  # no list of all addresses of a screen is ever made
+    some = per_url.groupBy("crawl_id", "screen", part).agg(
+        F.count("*").alias("n"), F.bool_or("odd").alias("odd"), F.min_by("title", "page_ord").alias("title"), F.min("page_ord").alias("first"),
         F.slice(F.array_sort(F.collect_list(F.struct("page_ord", "url"))), 1, 10).alias("some"),
     )
+    groups = some.groupBy("crawl_id", "screen").agg(
+        F.sum("n").alias("count"), F.bool_or("odd").alias("odd"), F.min_by("title", "first").alias("title"), F.min("first").alias("first"),
+        F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, 10).alias("some"),
+    )
     suspect = F.col("odd") | (F.col("screen") == F.col("home"))
     kind = F.when(suspect & (F.col("count") >= REPEATED), "repeated").when(~suspect & (F.col("count") >= 2), "duplicate")
     judged = groups.join(home, "crawl_id").withColumn("kind", kind).where("kind is not null")

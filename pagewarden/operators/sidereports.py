@@ -13,12 +13,11 @@ KINDS = {"page": "페이지", "iframe": "iframe", "robots": "수집 금지 주
 NONE = "array<string>"
 
 
-def unchecked(crawls: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """(crawl_id, kind, kind_label, url, frame_path, reason, host, trusted_domain, pages, page_count).
+def unchecked_pages(crawls: DataFrame) -> DataFrame:
+    """(crawl_id, kind, url, frame_path, reason, page_url): where each area that wasn't checked was met, however often.
 
-    Every way in which a crawl has left something unseen is a branch of a union; branches meet in one grouping.
+    Every way in which a crawl has left something unseen is a branch of a union.
     """
-    settings = settings or Settings()
     pages, none = crawl.pages(crawls), F.array().cast(NONE)
     area = lambda rows, kind, page, url, path, reason: rows.select(
         "crawl_id", kind.alias("kind"), page.alias("page"), F.coalesce(url, F.lit("")).alias("url"), F.coalesce(path, none).alias("frame_path"), reason.alias("reason")
@@ -58,11 +57,17 @@ def unchecked(crawls: DataFrame, settings: Settings | None = None) -> DataFrame:
     every = branches[0]
     for b in branches[1:]:
         every = every.unionByName(b)
-    groups = every.groupBy("crawl_id", "kind", "url", "frame_path", "reason").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+    return every.withColumnRenamed("page", "page_url").distinct()
+
+
+def unchecked(crawls: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """(crawl_id, kind, kind_label, url, frame_path, reason, host, trusted_domain, page_count): areas that weren't checked."""
+    settings = settings or Settings()
+    groups = unchecked_pages(crawls).groupBy("crawl_id", "kind", "url", "frame_path", "reason").agg(F.count("*").cast("int").alias("page_count"))
     host = urls.host("url")
-    label = F.coalesce(*[F.when(F.col("kind") == k, lit(v)) for k, v in KINDS.items()])
+    label = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in KINDS.items()])
     trusted = (host != "") & urls.listed(host, settings.trusted)
-    return groups.withColumns({"kind_label": label, "host": host, "trusted_domain": trusted, "page_count": F.size("pages")})
+    return groups.withColumns({"kind_label": label, "host": host, "trusted_domain": trusted})
 
 
 def stats(crawls: DataFrame, unchecked_areas: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ WORDS = [
     Keyword("trash", "insult", 2, latin=True),
 ]
 TRUSTED = ["example.org", "tionsh.example.net"]
-PARTS, HOST_WORDS = {"gambling": "casino", "spam": "farm"}, {"gambling": "bets", "adult": "adult"}
+PARTS, HOST_WORDS = {"casino": "gambling", "farm": "spam"}, {"bets": "gambling", "adult": "adult"}
 
 HOST_SQL = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)', 1))"
 PATH_SQL = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"

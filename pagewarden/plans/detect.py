@@ -19,6 +19,7 @@ from pagewarden.operators.evidence import (
 )
 from pagewarden.plans.shared import stored
 from pagewarden.sources import crawl
+from pagewarden.sources.batches import bounded_batches
 
 MAX_CHILD_LINKS = 20
 # Kinds of elements that can be excused as prevention, and where text is out of sight by its kind.
@@ -30,14 +31,13 @@ NO_STRINGS = "array<string>"
 PLACE = ["crawl_id", "page_ord"]
 
 
-def prepared_pages(crawls: DataFrame, settings: Settings) -> DataFrame:
-    """Pages with the hosts of their crawl's seeds, their parameters, and whether they warn of offences."""
-    pages = crawl.pages(crawls)
+def prepared_pages(pages: DataFrame, settings: Settings) -> DataFrame:
+    """Pages with the distinct hosts of their crawl's seeds, their parameters, and whether they warn of offences."""
     titles = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("listed_title", F.lit("")))
     frame_places = F.filter("elements", lambda e: (e["type"] == "iframe") & F.coalesce(e["hidden"], F.lit(False)))
     none = F.array().cast(NO_STRINGS)
     return pages.withColumns({
-        "seed_hosts": F.transform("seeds", urls.host),
+        "seed_hosts": F.array_distinct(F.transform("seeds", urls.host)),
         "page_params": reflection.params(settings.matcher, F.array("url", "final_url")),
         "warns": contacts.prevention(titles),
         "hidden_frames": F.transform(frame_places, lambda e: F.concat(F.coalesce(e["frame_path"], none), F.array(e["selector"]))),
@@ -82,7 +82,7 @@ def with_links_below(elements: DataFrame) -> DataFrame:
 def scored(elements: DataFrame, settings: Settings) -> DataFrame:
     """Elements with their evidence; those without any core evidence, or excused as prevention, are gone."""
     matcher, text = settings.matcher, F.col("content")
-    rows = elements.withColumn("hits", F.when(text != "", matching.hits(matcher, text)).otherwise(F.array().cast(matching.HIT_TYPE)))
+    rows = elements.withColumn("hits", matching.hits(matcher, text))
     rows = rows.withColumn("foreign", F.filter("urls", lambda u: untrusted(u, settings)))
     named = F.transform("foreign", lambda u: F.struct(urls.host(u).alias("host"), domains.suspicion(urls.host(u)).alias("category")))
     rows = rows.withColumn("bad", F.get(F.filter(named, lambda x: x["category"].isNotNull()), F.lit(0)))
@@ -98,11 +98,11 @@ def scored(elements: DataFrame, settings: Settings) -> DataFrame:
     )
     rows = rows.where(~excused)
 
-    in_frame = reflection.params(matcher, F.when(F.size("frame_path") > 0, F.array("frame_url")).otherwise(F.array().cast(NO_STRINGS)))
+    in_frame = reflection.params(matcher, F.when(F.size("frame_path") > 0, F.array("frame_url")))
     rows = rows.withColumn("params", F.array_distinct(F.concat("page_params", in_frame)))
     rows = rows.withColumn("reflected", reflection.reflected(F.col("params"), text))
-    rows = rows.withColumn("outside", F.when(F.size("reflected") > 0, reflection.stripped(text, F.transform("reflected", lambda p: p["value"]))))
-    rows = rows.withColumn("outside_words", F.when(F.col("outside").isNotNull(), F.size(matching.spans(matcher, F.col("outside")))).otherwise(0))
+    rows = rows.withColumn("outside", reflection.stripped(text, F.when(F.size("reflected") > 0, F.transform("reflected", lambda p: p["value"]))))
+    rows = rows.withColumn("outside_words", F.size(matching.spans(matcher, F.col("outside"))))
 
     searched = F.when(widget != "", ev("search_list", F.concat(F.lit("사이트 검색어 목록("), widget, F.lit(")에 올라 있음")), POINTS["search_list"]))
     by_kind = F.coalesce(*[
@@ -228,13 +228,14 @@ def without_descendants(found: DataFrame) -> DataFrame:
     return found.join(gone.distinct(), [*PLACE, "frame_path", "selector"], "left_anti")
 
 
-def page_findings(crawls: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """All findings, page by page.
+def page_findings(crawls: DataFrame | None, settings: Settings | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """All findings, page by page, of crawl documents or of pages that are stored apart (see ``crawl.read_pages``).
 
     Pages are stored once, in columns: five branches read what each needs of them, and none parses documents again.
     """
     settings = settings or Settings()
-    pages = stored(prepared_pages(crawls, settings), "pages")
+    bounded_batches((pages if crawls is None else crawls).sparkSession)
+    pages = stored(prepared_pages(crawl.pages(crawls) if pages is None else pages, settings), "pages")
     found = element_findings(with_links_below(page_elements(pages)), settings).unionByName(redirect_findings(pages, settings))
     found = with_stuffing(found, pages, settings)
     found = found.unionByName(shaped(cloaking.findings(pages, settings)))
@@ -267,7 +268,7 @@ def finding_pages(found: DataFrame, groups: DataFrame) -> DataFrame:
 def external_domains(crawls: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(crawl_id, host, count, whitelisted): how often elements point outside, most often first."""
     settings = settings or Settings()
-    elements = page_elements(prepared_pages(crawls, settings))
+    elements = page_elements(prepared_pages(crawl.pages(crawls), settings))
     rows = elements.select(*PLACE, "elem_ord", "seed_hosts", "subdomains", F.posexplode("urls").alias("url_ord", "u")).where(external(F.col("u")))
     counted = rows.groupBy("crawl_id", urls.host("u").alias("host")).agg(F.count("*").alias("count"), F.min(F.struct("page_ord", "elem_ord", "url_ord")).alias("first"))
     order = Window.partitionBy("crawl_id").orderBy(F.desc("count"), "first")

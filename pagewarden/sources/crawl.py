@@ -20,7 +20,7 @@ PROFILE = (
 )
 PAGE = (
     "struct<url:string,final_url:string,depth:int,status:int,title:string,listed_title:string,found_on:string,crawled_at:string,error:string,"
-    "error_page:string,timed_out:boolean,offsite_redirect:boolean,retry_after:double,timings:map<string,double>,"
+    "error_page:string,timed_out:boolean,offsite_redirect:boolean,retry_after:string,timings:map<string,double>,"
     f"frames_skipped:array<struct<frame_url:string,reason:string>>,frames:array<{FRAME}>,elements:array<{ELEMENT}>,"
     f"cloaking:struct<url:string,reason:string,profiles:array<{PROFILE}>>>"
 )
@@ -55,6 +55,20 @@ def pages(crawls: DataFrame) -> DataFrame:
     return rows.select("crawl_id", "page_ord", "seeds", "subdomains", "page.*")
 
 
+def read_pages(spark: SparkSession, path: str, crawls: DataFrame) -> DataFrame:
+    """The same from pages stored apart, one JSON line each, for crawls of any size.
+
+    A line has the fields of a page, ``crawl_id`` and ``page_ord``; ``crawls`` has crawl_id, seeds array<string>, subdomains.
+    """
+    lines = spark.read.schema(f"crawl_id string, page_ord int, page {PAGE}").json(path)
+    return lines.join(crawls.select("crawl_id", "seeds", "subdomains"), "crawl_id").select("crawl_id", "page_ord", "seeds", "subdomains", "page.*")
+
+
+def to_pages(crawls: DataFrame) -> DataFrame:
+    """(crawl_id, page_ord, page): pages of crawl documents, to be written as JSON lines for ``read_pages``."""
+    return crawls.select("crawl_id", F.posexplode("pages").alias("page_ord", "page"))
+
+
 def elements(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per element, in page order; the main frame's title comes last as an element of its own."""
     main = F.get(F.filter("frames", lambda f: f["is_main"]), F.lit(0))

@@ -1,8 +1,11 @@
 """HTML to element records, without a browser.
 
-One pass of a tolerant parser builds a light tree; a walk in document order makes the records. What needs a
-rendered page is read from attributes and inline styles only: a crawl document that a browser made carries
+One pass of a tolerant parser builds a light tree; a walk in document order makes the records. What a node inherits
+(footer, list, search list, link) is handed down on that walk, so time grows with the page and not with its depth. What
+needs a rendered page is read from attributes and inline styles only: a crawl document that a browser made carries
 more, and goes past this module.
+
+Pages are read whole. ``Limits`` can bound what a page gives; ``PARITY`` has the bounds of crawls made by a browser.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -17,11 +21,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewarden.sources.batches import bounded_batches
 from pagewarden.sources.crawl import ELEMENT
 
-# Limits of a frame, tags that hold no content, fields of search engines, and how navigation,
-# footers, items, titles and search lists are recognised.
-MAX_TEXT, MAX_RECORDS, MAX_SCAN, MAX_LINKS, PAGE_TEXT = 500, 3000, 20000, 20, 50000
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Characters of a record, records of a page (the telling kinds and the others apart), nodes, links of a record, characters of a page's text; None: all."""
+
+    text: int | None = None
+    records: int | None = None
+    nodes: int | None = None
+    links: int | None = None
+    page_text: int | None = None
+
+
+WHOLE = Limits()
+# Limits of a frame, from which length on an element is shown by its own text, tags that hold no content,
+# fields of search engines, and how navigation, footers, items, titles and search lists are recognised.
+PARITY = Limits(text=500, records=3000, nodes=20000, links=20, page_text=50000)
+LONG_TEXT = 1000
 SKIPPED = set("script style noscript template meta link br hr option wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 PRIORITY = {"hidden", "iframe", "redirect", "meta", "noscript"}
@@ -50,12 +70,17 @@ HEAD_TAGS = set("title meta link base style script".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "selector")
+    __slots__ = ("tag", "attrs", "parent", "children", "place", "kinds", "known", "footer", "item", "widget", "in_link")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children, self.selector = tag, attrs, parent, [], None
+        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.kinds: dict[str, int] = {}
+        self.known: str | None = None
+        self.footer, self.item, self.widget, self.in_link = False, None, None, False
+        self.place = 1
         if parent is not None:
             parent.children.append(self)
+            self.place = parent.kinds[tag] = parent.kinds.get(tag, 0) + 1
 
     def get(self, name: str) -> str:
         return self.attrs.get(name) or ""
@@ -74,12 +99,14 @@ class Node:
     def own_text(self) -> str:
         return squeezed("".join(c for c in self.children if isinstance(c, str)))
 
-    def text(self) -> str:
-        out, stack = [], [self]
-        while stack:
+    def text(self, enough: int | None = None) -> str:
+        """The text inside; no more is gathered than it takes to have so many characters besides white space."""
+        out, stack, held = [], [self], 0
+        while stack and (enough is None or held <= enough):
             x = stack.pop()
             if isinstance(x, str):
                 out.append(x)
+                held += len(x) - x.count(" ") - x.count("\n")
             else:
                 stack.extend(x.children[::-1])
         return "".join(out)
@@ -98,7 +125,8 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {}, None)
         self.head, self.body = Node("head", {}, self.root), Node("body", {}, self.root)
-        self.at, self.raw = self.head, None
+        self.at = self.head
+        self.open: Counter = Counter()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         named = {}
@@ -106,7 +134,8 @@ class Builder(HTMLParser):
             named.setdefault(k, v if v is not None else "")
         if tag in ("html", "head", "body"):
             {"html": self.root, "head": self.head, "body": self.body}[tag].attrs.update(named)
-            self.at = self.body if tag == "body" else self.at
+            if tag == "body":
+                self.leave_to(self.body)
             return
         if self.at is self.head and tag not in HEAD_TAGS and tag != "noscript":
             self.at = self.body
@@ -115,11 +144,22 @@ class Builder(HTMLParser):
         node = Node(tag, named, self.at)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
+
+    def leave_to(self, node: Node) -> None:
+        """Close what is open below a node that is around the present place, or leave for another."""
+        for inner in self.at.ancestors():
+            if inner is node or inner.tag in ("html", "head", "body"):
+                break
+            self.open[inner.tag] -= 1
+        self.at = node
 
     def close_open(self, tag: str, apart: set[str]) -> None:
+        if not self.open[tag]:
+            return
         for node in self.at.ancestors():
             if node.tag == tag:
-                self.at = node.parent
+                self.leave_to(node.parent)
                 return
             if node.tag in apart or node.tag in ("body", "head", "html") or (tag == "p" and node.tag in BLOCKS) or node.tag in ("table", "td"):
                 return
@@ -129,13 +169,12 @@ class Builder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "head":
-            self.at = self.body
-        for node in self.at.ancestors():
-            if node.tag in ("html", "head", "body"):
-                return
-            if node.tag == tag:
-                self.at = node.parent
-                return
+            self.leave_to(self.body)
+        if self.open[tag]:
+            for node in self.at.ancestors():
+                if node.tag == tag:
+                    self.leave_to(node.parent)
+                    return
 
     def handle_data(self, data: str) -> None:
         if self.at is self.head and data.strip():
@@ -154,11 +193,6 @@ def squeezed(text: str) -> str:
     return " ".join(text.split())
 
 
-def clipped(text: str | None) -> str:
-    text = squeezed(text or "")
-    return text[:MAX_TEXT] + "…" if len(text) > MAX_TEXT else text
-
-
 def style_of(node: Node) -> dict[str, str]:
     pairs = (p.partition(":") for p in node.get("style").lower().split(";"))
     return {k.strip(): v.replace("!important", "").strip() for k, _, v in pairs if k.strip()}
@@ -201,6 +235,8 @@ def background(node: Node | None) -> tuple | None:
 
 def hidden_reasons(node: Node) -> list[str]:
     """Why a node isn't seen, by its attributes and inline style."""
+    if not node.attrs:
+        return []
     style, found = style_of(node), []
     none = style.get("display") == "none" or ("hidden" in node.attrs and "display" not in style)
     size = [pixels(style.get(d, "")) if d in style else pixels(node.get(d)) for d in ("width", "height")]
@@ -237,15 +273,25 @@ def hidden_reasons(node: Node) -> list[str]:
 class Extractor:
     """The records of one page."""
 
-    def __init__(self, html: str, base: str):
-        self.tree = parsed(html)
+    def __init__(self, html: str, base: str, limits: Limits = WHOLE):
+        self.tree, self.limits = parsed(html), limits
         nodes = list(self.tree.root.walk())
-        self.ids = Counter(n.get("id") for n in nodes if n.get("id"))
+        self.ids = Counter(n.get("id") for n in nodes if n.attrs and n.get("id"))
         href = next((n.get("href") for n in nodes if n.tag == "base" and n.get("href")), "")
         self.base, self.nodes, self.records = self.joined(href, base) if href else base, nodes, []
         self.seen = Counter()
         self.titles: dict[int, str] = {}
-        self.lists = self.search_lists()
+        labels = {id(root): label for root, label in self.search_lists()}
+        for n in nodes:  # parents come first
+            above = n.parent
+            n.footer = above.footer or self.is_footer(n)
+            n.item = n if n.tag in ("article", "li") or (n.attrs and ITEM_NAME.search(n.get("class"))) else above.item
+            n.widget = labels.get(id(n), above.widget)
+            n.in_link = above.in_link or (n.tag == "a" and "href" in n.attrs)
+
+    def clipped(self, text: str | None) -> str:
+        text, most = squeezed(text or ""), self.limits.text
+        return text[:most] + "…" if most is not None and len(text) > most else text
 
     @staticmethod
     def joined(url: str, base: str) -> str:
@@ -258,16 +304,22 @@ class Extractor:
         return self.joined(url, self.base)
 
     def selector(self, node: Node) -> str:
-        if node.selector is None:
-            if node.get("id") and self.ids[node.get("id")] == 1:
-                node.selector = "#" + re.sub(r"([^\w-])", r"\\\1", node.get("id"))
-            elif node.parent is None:
-                node.selector = node.tag
-            else:
-                same = [c for c in node.parent.elements if c.tag == node.tag]
-                place = f":nth-of-type({same.index(node) + 1})" if len(same) > 1 else ""
-                node.selector = f"{self.selector(node.parent)} > {node.tag}{place}"
-        return node.selector
+        """The path to a node from the nearest one around it that has an id of its own, or from the root."""
+        steps: list[str] = []
+        for n in node.ancestors():
+            if n.known is not None:
+                steps.append(n.known)
+                break
+            own = n.get("id") if n.attrs else ""
+            if own and self.ids[own] == 1:
+                steps.append("#" + re.sub(r"([^\w-])", r"\\\1", own))
+                break
+            several = n.parent is not None and n.parent.kinds[n.tag] > 1
+            steps.append(f"{n.tag}:nth-of-type({n.place})" if several else n.tag)
+        if node.parent is None or len(steps) < 40:
+            node.known = " > ".join(steps[::-1])
+            return node.known
+        return " > ".join(steps[::-1])
 
     def search_lists(self) -> list[tuple[Node, str]]:
         """Lists of what visitors search for, and their names."""
@@ -292,30 +344,32 @@ class Extractor:
 
     def context_title(self, node: Node) -> str:
         """The heading of the nearest list item or article around a node."""
-        items = (n for n in node.ancestors() if n.tag in ("article", "li") or ITEM_NAME.search(n.get("class")))
-        for item, _ in zip(items, range(4)):
+        item = node.item
+        for _ in range(4):
+            if item is None:
+                return ""
             if id(item) not in self.titles:
-                head = next((n for n in item.walk() if n.tag in ("h1", "h2", "h3", "h4", "h5") or TITLE_NAME.search(n.get("class"))), None)
+                head = next((n for n in item.walk() if n.tag in ("h1", "h2", "h3", "h4", "h5") or (n.attrs and TITLE_NAME.search(n.get("class")))), None)
                 self.titles[id(item)] = squeezed(head.text())[:80] if head else ""
             if self.titles[id(item)]:
                 return self.titles[id(item)]
+            item = item.parent.item
         return ""
 
     @staticmethod
-    def in_footer(node: Node) -> bool:
-        def footer(n: Node) -> bool:
-            name, cls = n.get("id").lower(), n.get("class").lower()
-            return n.tag == "footer" or n.get("role") == "contentinfo" or "foot" in name or "footer" in cls or "copyright" in cls
-
-        return any(map(footer, node.ancestors()))
+    def is_footer(n: Node) -> bool:
+        if n.tag == "footer" or not n.attrs:
+            return n.tag == "footer"
+        name, cls = n.get("id").lower(), n.get("class").lower()
+        return n.get("role") == "contentinfo" or "foot" in name or "footer" in cls or "copyright" in cls
 
     def put(self, node: Node | None, **record) -> None:
         kind = record["type"] in PRIORITY
         self.seen[kind] += 1
-        if self.seen[kind] <= MAX_RECORDS:
+        if self.limits.records is None or self.seen[kind] <= self.limits.records:
             if node is not None:
                 record["context_title"] = self.context_title(node)
-                record["search_widget"] = next((label for root, label in self.lists if root in node.ancestors()), None)
+                record["search_widget"] = node.widget
             self.records.append(record)
 
     def navigation(self, node: Node) -> tuple[str, str] | None:
@@ -327,28 +381,28 @@ class Extractor:
     def head_records(self) -> None:
         for n in self.nodes:
             if n.tag == "meta" and n.get("http-equiv").lower() == "refresh":
-                self.put(None, type="redirect", selector=self.selector(n), content=clipped(n.get("content")))
+                self.put(None, type="redirect", selector=self.selector(n), content=self.clipped(n.get("content")))
         for n in self.nodes:
             name = "property" if n.get("property") else "name"
-            field, content = n.get(name).lower(), clipped(n.get("content"))
+            field, content = n.get(name).lower(), self.clipped(n.get("content"))
             if n.tag == "meta" and field in META_FIELDS and len(content) >= 2:
                 self.put(None, type="meta", field=field, selector=f'meta[{name}="{field}"]', content=content)
         for n in self.nodes:
             if n.tag == "noscript":
-                content = clipped(" ".join(c.text() if isinstance(c, Node) else c for c in n.children))
-                links = [u for a in n.walk() if a.tag == "a" and "href" in a.attrs and (u := self.url(a.get("href")))][:MAX_LINKS]
+                content = self.clipped(" ".join(c.text() if isinstance(c, Node) else c for c in n.children))
+                links = [u for a in n.walk() if a.tag == "a" and "href" in a.attrs and (u := self.url(a.get("href")))][: self.limits.links]
                 if len(content) >= 2 or links:
                     self.put(None, type="noscript", selector=self.selector(n), content=content, links=links)
 
     def links_inside(self, node: Node) -> list[str]:
-        return [self.url(a.get("href")) for a in node.walk() if a.tag in ("a", "area") and "href" in a.attrs][:MAX_LINKS]
+        return [self.url(a.get("href")) for a in node.walk() if a.tag in ("a", "area") and "href" in a.attrs][: self.limits.links]
 
     def run(self) -> list[dict]:
         self.head_records()
         covered: set[int] = set()  # nodes that are hidden, or inside of one
         off: set[int] = set()
         for scanned, n in enumerate(self.tree.body.walk()):
-            if scanned >= MAX_SCAN:
+            if self.limits.nodes is not None and scanned >= self.limits.nodes:
                 break
             if n.tag in SKIPPED or id(n.parent) in off:
                 off.add(id(n))
@@ -363,36 +417,36 @@ class Extractor:
             if unseen:
                 covered.add(id(n))
             if reasons:
-                content, links = clipped(n.text()), ([self.url(raw)] if is_link else []) + self.links_inside(n)
+                content, links = self.clipped(n.text(self.limits.text)), ([self.url(raw)] if is_link else []) + self.links_inside(n)
                 if content or links or any(x.tag in ("iframe", "img") for x in n.walk()):
                     self.put(n, type="hidden", tag=n.tag, selector=self.selector(n), content=content, hidden_reasons=reasons, links=links)
             if is_link:
-                label = n.text() or n.get("title")
+                label = n.text(self.limits.text) or n.get("title")
                 label = label if label.strip() or inside else next((x.get("alt") for x in n.walk() if x.tag == "img"), "")
-                self.put(n, type="link", selector=self.selector(n), href=self.url(raw), raw_href=n.get("href"), content=clipped(label),
-                         target=n.get("target"), hidden=unseen, footer=self.in_footer(n))
+                self.put(n, type="link", selector=self.selector(n), href=self.url(raw), raw_href=n.get("href"), content=self.clipped(label),
+                         target=n.get("target"), hidden=unseen, footer=n.footer)
             if nav:
                 self.put(n, type="link", source=nav[1], selector=self.selector(n), href=self.url(nav[0]), raw_href=nav[0],
-                         content=clipped(n.text() or n.get("aria-label") or n.get("title")), target="", hidden=unseen, footer=self.in_footer(n))
+                         content=self.clipped(n.text(self.limits.text) or n.get("aria-label") or n.get("title")), target="", hidden=unseen, footer=n.footer)
             if n.tag in ("iframe", "frame"):
                 why = ["inside-hidden-element"] if inside else list(reasons)
                 sizes = [pixels(style_of(n).get(d, "") or n.get(d)) for d in ("width", "height")]
                 if not inside and "display:none" not in reasons and any(s is not None and s <= 2 for s in sizes):
                     why.append("tiny-size")
                 self.put(n, type="iframe", selector=self.selector(n), src=self.url(n.get("src")) if n.get("src") else "", raw_src=n.get("src"),
-                         content=clipped(n.get("title") or n.get("name")), hidden=bool(why), hidden_reasons=why)
+                         content=self.clipped(n.get("title") or n.get("name")), hidden=bool(why), hidden_reasons=why)
             if inside:
                 continue
-            if n.tag == "img" and not any(a.tag == "a" and "href" in a.attrs for a in n.ancestors()):
-                alt = clipped(n.get("alt") or n.get("title"))
+            if n.tag == "img" and not n.in_link:
+                alt = self.clipped(n.get("alt") or n.get("title"))
                 if len(alt) >= 2 and reasons:
                     self.put(n, type="hidden", tag="img", selector=self.selector(n), content=alt, hidden_reasons=reasons, links=[])
                 elif len(alt) >= 2:
                     self.put(n, type="alt", selector=self.selector(n), content=alt, src=self.url(n.get("src")))
             own = n.own_text()
             if not reasons and len(own) >= 2:
-                whole = n.text() if 0 < len(n.elements) <= 10 else own
-                self.put(n, type="text", tag=n.tag, selector=self.selector(n), content=clipped(whole if len(whole) <= 2 * MAX_TEXT else own))
+                whole = n.text(LONG_TEXT) if 0 < len(n.elements) <= 10 else own
+                self.put(n, type="text", tag=n.tag, selector=self.selector(n), content=self.clipped(whole if len(whole) <= LONG_TEXT else own))
         return self.records
 
     def title(self) -> str:
@@ -418,17 +472,18 @@ class Extractor:
 
         visit(self.tree.body)
         text = re.sub(r" *\n[ \n]*", "\n", re.sub(r"[ \t]+", " ", "".join(out)))
-        return text.strip()[:PAGE_TEXT]
+        return text.strip()[: self.limits.page_text]
 
 
-def extract(html: str | None, base: str | None) -> tuple[str, str, list[dict]]:
+def extract(html: str | None, base: str | None, limits: Limits = WHOLE) -> tuple[str, str, list[dict]]:
     """(title, text, records) of a page."""
-    page = Extractor(html or "", base or "")
+    page = Extractor(html or "", base or "", limits)
     return page.title(), page.page_text(), page.run()
 
 
-def pages_from_html(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def pages_from_html(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", limits: Limits = WHOLE) -> DataFrame:
     """(page_id, url, title, text, elements) of each page; elements as in a crawl document."""
+    bounded_batches(pages.sparkSession)
     found = f"page_id long, url string, title string, text string, elements array<{ELEMENT}>"
     schema = pages.sparkSession.createDataFrame([], found).schema
     element = schema["elements"].dataType.elementType
@@ -442,7 +497,7 @@ def pages_from_html(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 ids, urls, htmls = (c.to_pylist() for c in batch.slice(k, 64).columns)
-                rows = [extract(h, u) for h, u in zip(htmls, urls)]
+                rows = [extract(h, u, limits) for h, u in zip(htmls, urls)]
                 records = [[{n: {**default, "frame_url": u, **r}.get(n) for n in names} for r in x[2]] for x, u in zip(rows, urls)]
                 columns = [pa.array(ids, pa.int64()), *(pa.array(c, pa.string()) for c in (urls, [x[0] for x in rows], [x[1] for x in rows]))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(records, kind)], ["page_id", "url", "title", "text", "elements"])

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from pagewarden.plans.shared import stored
+
 # Bounds of a discovery and where sitemaps and feeds are looked for.
 MAX_FILES, MAX_BYTES, MAX_URLS, FEEDS_BELOW = 30, 20 << 20, 5000, 50
 SITEMAPS, FEEDS = ["/sitemap.xml", "/sitemap_index.xml", "/all/sitemap.xml"], ["/rss", "/feed", "/rss.xml"]
@@ -99,7 +101,7 @@ def locations(robots: Column, base: Column) -> Column:
     return pandas_udf(one, "array<string>")(robots, base)
 
 
-def discover(bodies: DataFrame, origins: DataFrame, explicit: DataFrame | None = None, rounds: int = 5) -> tuple[DataFrame, DataFrame]:
+def discover(bodies: DataFrame, origins: DataFrame, explicit: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """What sitemaps and feeds of each origin list: (origin, ord, url, title), and sources (origin, url, kind, source, urls).
 
     ``bodies``: (url, body). ``origins``: (origin, robots) with the text of robots.txt or null. ``explicit``:
@@ -117,13 +119,14 @@ def discover(bodies: DataFrame, origins: DataFrame, explicit: DataFrame | None =
     first = Window.partitionBy("origin", "url").orderBy("path")
     front = starts.select("origin", "url", "rank", "source", F.array("rank", F.col("k").cast("int")).alias("path"))
     front = front.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    seen = None
-    for _ in range(rounds):  # an index rarely nests; the bound on files holds anyway
+    read, front, seen = stored(read, "documents"), stored(front, "front"), None
+    while not front.isEmpty():  # an address is read once for each origin, so indexes of any depth come to an end
         found = front.join(read, "url")
         seen = found if seen is None else seen.unionByName(found)
         below = found.select("origin", "rank", "source", "path", F.posexplode("children").alias("i", "url"))
         below = below.select("origin", "url", "rank", "source", F.concat("path", F.array("i")).alias("path"))
-        front = below.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").join(seen.select("origin", "url"), ["origin", "url"], "left_anti")
+        front = stored(below.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").join(seen.select("origin", "url"), ["origin", "url"], "left_anti"), "front")
+    seen = seen if seen is not None else front.join(read, "url")
     files = Window.partitionBy("origin").orderBy("rank", "path")
     seen = seen.withColumn("file", F.row_number().over(files)).where(F.col("file") <= MAX_FILES)
     items = seen.select("origin", F.col("url").alias("file_url"), "rank", "source", "kind", "file", F.posexplode("items").alias("i", "item"))
@@ -156,4 +159,5 @@ def allowed(url: Column, robots: Column, agent: str = "*") -> Column:
 
         return pd.Series([ask(u, t) for u, t in zip(urls_, texts)], dtype=bool)
 
-    return F.when(F.coalesce(F.trim(robots), F.lit("")) == "", True).otherwise(pandas_udf(one, "boolean")(url, robots))
+    told = F.coalesce(F.trim(robots), F.lit("")) != ""
+    return pandas_udf(one, "boolean")(F.when(told, url), F.when(told, robots))  # null costs nothing

@@ -49,13 +49,18 @@ def cells(text: str) -> list[str]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(list, ord, url): the distinct normalised URLs of each file, in the order of their first place."""
+    return listed(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """The same of a table of files: name, bytes."""
 
     def split(batches):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = cells(unpacked(data.as_py()))
+                found = cells(unpacked(data.as_py() or b""))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.string())], ["list", "ord", "url"])
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(split, "list string, ord long, url string")
+    raw = files.mapInArrow(split, "list string, ord long, url string")
     normal = raw.select("list", "ord", urls.normalized("url").alias("url")).where("url <> ''")
     return normal.groupBy("list", "url").agg(F.min("ord").alias("ord")).select("list", "ord", "url")

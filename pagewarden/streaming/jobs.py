@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pagewarden.operators import screens
 from pagewarden.operators.evidence import Settings
 from pagewarden.operators.screens import BACKOFF_LEAST, BACKOFF_MOST, FORBIDDEN_RUN, STOP_AFTER
-from pagewarden.plans import detect
+from pagewarden.plans import detect, shared
 from pagewarden.sources import crawl
 
 
@@ -29,7 +30,9 @@ def detect_stream(crawls: DataFrame, out: str, checkpoint: str, settings: Settin
     """Write the page findings of each batch to a folder of its own number, so that a batch that runs again replaces itself."""
 
     def each(batch: DataFrame, number: int) -> None:
+        before = len(shared.WRITTEN[batch.sparkSession.sparkContext.applicationId])
         detect.page_findings(batch, settings).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        shared.forget(batch.sparkSession, before)
 
     return crawls.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -69,6 +72,17 @@ def new_addresses(found: DataFrame, time_col: str = "at", late: str = "1 day") -
     return found.withWatermark(time_col, late).dropDuplicatesWithinWatermark(["url"])
 
 
+def screen_counts(pages: DataFrame, time_col: str = "at", late: str = "1 day") -> DataFrame:
+    """(site, screen, title, count, first_url): how many addresses of a stream of pages (site, url, title, text, at) have shown a screen so far.
+
+    Addresses count once within the watermark. Written in update mode; a screen is a duplicate from two on.
+    """
+    screen = F.sha2(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.substring(screens.spaceless(F.col("text")), 1, screens.SCREEN_TEXT)), 256)
+    seen = pages.where(F.length(screens.spaceless(F.col("text"))) >= screens.LEAST_SCREEN).withColumn("screen", screen)
+    once = seen.withWatermark(time_col, late).dropDuplicatesWithinWatermark(["site", "screen", "url"]) if pages.isStreaming else seen.dropDuplicates(["site", "screen", "url"])
+    return once.groupBy("site", "screen").agg(F.first("title").alias("title"), F.count("*").alias("count"), F.min("url").alias("first_url"))
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions of each user: (user_id, start, stop, n_events, total). Works on streams and on tables alike."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events

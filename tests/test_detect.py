@@ -191,9 +191,11 @@ def test_side_reports_and_exports(spark, tmp_path):
     assert exports.to_console(report)[-1] == "외부 도메인: win-toto.invalid"
 
 
-def test_texts_for_durations():
-    assert [exports.estimate(n) for n in (5, 30, 1000)] == ["1분 이내", "약 2분", "약 1시간 23분"]
-    assert exports.remaining(37, 1200, 37 * 3.0) == " · 남은 시간 약 58분 9초" and exports.remaining(0, 5, 1.0) == ""
+def test_texts_for_durations(spark):
+    rows = spark.createDataFrame([(5, 0, 5, 1.0), (30, 37, 1200, 111.0), (1000, 1, 3601, 1.0)], "n int, done int, total int, elapsed double")
+    found = rows.orderBy("n").select(exports.estimate(rows.n).alias("e"), exports.remaining(rows.done, rows.total, rows.elapsed).alias("r")).collect()
+    assert [r.e for r in found] == ["1분 이내", "약 2분", "약 1시간 23분"]
+    assert [r.r for r in found] == ["", " · 남은 시간 약 58분 9초", " · 남은 시간 약 1시간"]
 
 
 def test_empty_crawl(spark):

@@ -65,15 +65,14 @@ def test_keyboard():
 
 def test_normalization_keeps_places():
     text = "x㈎ｙ́é"
-    read, places = CharMap().normalize(text)
-    assert read == "x가ye" and places == [0, 1, 2, 4]
+    assert CharMap().view(text) == "x가ye" and CharMap().places(text) == [0, 1, 2, 4]
 
 
 def test_confusables_are_a_parameter():
     table = "0430 ;\t0061 ;\tMA\n13AA ;\t0047 ; MA # CHEROKEE\n4E00 ; 0061 ; MA\n"
     found = read_confusables(table)
     assert found == {"а": "a", "Ꭺ": "G"}
-    assert Matcher(charmap=CharMap(found)).charmap.reading("Ꭺ") == "G"
+    assert Matcher(charmap=CharMap(found)).charmap.glyph("Ꭺ").reading == "G"
 
 
 @settings(max_examples=60, deadline=None)

@@ -77,9 +77,16 @@ def test_selectors_texts_and_limits():
     body = '<div id="a"><p>하나<p>둘둘 <span>셋</span></div><div id="b"></div><div id="b">넷 다섯</div>' + "<p>" + "가" * 600
     texts = records(body, type="text")
     assert [t["selector"] for t in texts][:3] == ["#a > p:nth-of-type(1)", "#a > p:nth-of-type(2)", "html > body > div:nth-of-type(3)"]
-    assert texts[1]["content"] == "둘둘 셋" and len(texts[-1]["content"]) == 501
-    many = html.extract("<p>ab</p>" * 4000 + '<div style="display:none">x</div>', BASE)[2]
-    assert sum(r["type"] == "text" for r in many) == 3000 and sum(r["type"] == "hidden" for r in many) == 1
+    assert texts[1]["content"] == "둘둘 셋" and len(texts[-1]["content"]) == 600
+    assert len([t for t in html.extract(body, BASE, html.PARITY)[2] if t["type"] == "text"][-1]["content"]) == 501
+    page = "<p>ab</p>" * 4000 + '<div style="display:none">x</div>'
+    many, bounded = html.extract(page, BASE)[2], html.extract(page, BASE, html.PARITY)[2]
+    assert [sum(r["type"] == "text" for r in x) for x in (many, bounded)] == [4000, 3000] and sum(r["type"] == "hidden" for r in bounded) == 1
+
+
+@pytest.mark.parametrize("page,n", [("<div>" * 100_000 + "x y", 1), ("<p>ab</p>" * 50_000, 50_000), ("<div>" * 50_000 + "</span>" * 50_000, 0), ("<div>a b" * 2000, 2000)])
+def test_deep_and_wide_pages(page, n):
+    assert len(html.extract(page, BASE)[2]) == n
 
 
 @pytest.mark.parametrize("text", [None, "", "<", "<div", "</p></div>", "<b><i>x</b></i>", "<table><tr><td>a<td>b</table>", "<!-- x", "<script>var a='<p>'</script>"])
@@ -137,6 +144,14 @@ def test_documents():
     assert [parse(b)["kind"] for b in (b"<html/>", b"no xml", None, b"\x1f\x8bbroken")] == ["", "", "", ""]
 
 
+def test_indexes_of_any_depth(spark):
+    index = lambda k: xml(f"<sitemapindex><sitemap><loc>http://a.kr/i{k}.xml</loc></sitemap></sitemapindex>")
+    files = [("http://a.kr/sitemap.xml", index(1)), *[(f"http://a.kr/i{k}.xml", index(k + 1)) for k in range(1, 8)], ("http://a.kr/i8.xml", URLS)]
+    bodies = spark.createDataFrame([(u, bytearray(b)) for u, b in files], "url string, body binary")
+    pages, sources = sitemap.discover(bodies, spark.createDataFrame([("http://a.kr", None)], "origin string, robots string"))
+    assert pages.count() == 2 and sources.count() == 9
+
+
 def test_discovery_follows_indexes_without_circles(spark):
     bodies = spark.createDataFrame(
         [("http://a.kr/i.xml", bytearray(INDEX)), ("http://a.kr/s1.xml", bytearray(URLS)), ("http://a.kr/rss", bytearray(RSS))], "url string, body binary"
