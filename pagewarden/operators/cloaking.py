@@ -32,10 +32,15 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w{2,}"), F.lit(0)))
 
 
+def shared_words(a: Column, b: Column) -> Column:
+    """Of two sets of words the share that both have; 1 if there are none."""
+    both, every = F.size(F.array_intersect(a, b)).cast("double"), F.size(a) + F.size(b)
+    return F.when(every == 0, 1.0).otherwise(both / (every - both))
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """Shared words of all words; 1 if there are none."""
-    union = F.size(F.array_union(words(a), words(b)))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(words(a), words(b))) / union)
+    """Shared words of all words of two texts; 1 if there are none."""
+    return shared_words(words(a), words(b))
 
 
 def toward(word: Column) -> Column:

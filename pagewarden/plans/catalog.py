@@ -9,17 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pagewarden.functions import contacts, domains, matching, urls
+from pagewarden.functions import contacts, domains, matching, reflection, urls
 from pagewarden.functions.charmap import CharMap
 from pagewarden.functions.dictionary import Keyword
 from pagewarden.functions.matching import Matcher
 from pagewarden.operators import cloaking, evidence, frontier, screens
-from pagewarden.plans import detect
+from pagewarden.plans import cases, detect
+from pagewarden.plans.shared import scratch, stored
+from pagewarden.sources import exports, whitelist
 from pagewarden.sources import html as html_source
 from pagewarden.streaming import jobs
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES: dict = dict(cases.QUERIES)
+ORACLE_SQL: dict = {name: cases.oracle(name) for name in cases.QUERIES}
 
 
 def query(sql: str | None = None):
@@ -58,7 +60,7 @@ def counted(word: str) -> str:
 
 #: SQL: occurrences that no longer word covers.
 COUNTS_SQL = {k.word: counted(k.word) for k in WORDS} | {"worth": f"({counted('worth')} - {counted('worthless')})"}
-WORDS_SQL = "(VALUES " + ", ".join(f"('{k.word}', '{k.category}', {k.weight}, {i})" for i, k in enumerate(WORDS)) + ") k(word, category, weight, ord)"
+WORDS_SQL = "(VALUES " + ", ".join(f"('{k.word}', '{k.category}', {k.weight}, {i})" for i, k in enumerate(sorted(WORDS, key=lambda k: -len(k.word)))) + ") k(word, category, weight, ord)"
 COUNT_SQL = "CASE word " + " ".join(f"WHEN '{w}' THEN {s}" for w, s in COUNTS_SQL.items()) + " END"
 
 
@@ -166,33 +168,45 @@ def link_host_counts(spark, sf_dir):
     return rows.groupBy(urls.host("e.href").alias("host")).agg(F.count("*").alias("n_links"))
 
 
-@query()
+@query(
+    """WITH h AS (SELECT page_id, html, regexp_extract_all(regexp_replace(html, '<(style|script)[^>]*>.*?</(style|script)>', '', 'gs'), '<(a|h1|p|b|li|div|footer)[ >]') AS tags FROM pages)
+       SELECT page_id, 'link' AS type, len(list_filter(tags, lambda t: t LIKE '<a%')) AS n FROM h WHERE n > 0"""
+)
 def html_elements(spark, sf_dir):
-    """How many records of each type every page gives."""
+    """How many links every page gives; all types are counted in the worked cases."""
     rows = html_source.pages_from_html(table(spark, sf_dir, "pages")).select("page_id", F.explode("elements").alias("e"))
-    return rows.groupBy("page_id", F.col("e.type").alias("type")).agg(F.count("*").alias("n"))
+    return rows.where("e.type = 'link'").groupBy("page_id", F.col("e.type").alias("type")).agg(F.count("*").alias("n"))
+
+
+SITE_SQL = f"regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)"
 
 
 @query(
-    """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages),
-       e AS (SELECT page_id AS url, (page_id * 7 + 3) % n AS next FROM pages, n UNION SELECT page_id, (page_id * 3 + 1) % n FROM pages, n),
-       r AS (SELECT 0::BIGINT AS url, 0 AS depth UNION SELECT e.next, r.depth + 1 FROM r JOIN e USING (url) WHERE r.depth < 6)
-       SELECT url, min(depth) AS depth FROM r GROUP BY url"""
+    f"""WITH RECURSIVE e AS (
+         SELECT DISTINCT page_id AS site, {SITE_SQL} || '/' AS url, {SITE_SQL} || href AS next
+         FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) WHERE href LIKE '/%'
+         UNION SELECT page_id, {SITE_SQL} || regexp_extract(html, '<a href="([^"]*)"', 1), {SITE_SQL} || '/end' FROM pages),
+       r AS (SELECT page_id AS site, {SITE_SQL} || '/' AS url, 0 AS depth FROM pages UNION SELECT e.site, e.next, r.depth + 1 FROM r JOIN e USING (site, url) WHERE r.depth < 4)
+       SELECT site, url, min(depth) AS depth FROM r GROUP BY site, url"""
 )
 def bfs_depth(spark, sf_dir):
+    """What is reached from each page's site over its links, and one more step from the first of them; each page is a site of its own."""
     pages = table(spark, sf_dir, "pages")
-    n = F.lit(pages.count())
-    steps = F.array(F.pmod(F.col("page_id") * 7 + 3, n), F.pmod(F.col("page_id") * 3 + 1, n))
-    edges = pages.select(F.col("page_id").alias("url"), F.explode(steps).alias("next"))
-    return frontier.reachable(spark.range(1).toDF("url"), edges, 6)
+    rows = html_source.pages_from_html(pages).select("page_id", "url", F.posexplode("elements").alias("ord", "e")).where("e.type = 'link'")
+    site = F.regexp_extract("url", "^([A-Za-z]+://[^/?#]*)", 1)
+    key = lambda u: F.concat_ws(" ", "page_id", u)
+    links = rows.where("e.raw_href LIKE '/%'").select(key(F.concat(site, F.lit("/"))).alias("url"), key(F.concat(site, "e.raw_href")).alias("next"))
+    first = rows.groupBy("page_id").agg(F.min_by(F.concat(site, "e.raw_href"), "ord").alias("first"), F.first(site).alias("site"))
+    further = first.select(key("first").alias("url"), key(F.concat("site", F.lit("/end"))).alias("next"))
+    found = frontier.reachable(pages.select(key(F.concat(site, F.lit("/"))).alias("url")), links.unionByName(further), 4)
+    return found.select(F.substring_index("url", " ", 1).cast("long").alias("site"), F.expr("substring(url, instr(url, ' ') + 1)").alias("url"), "depth")
 
 
-@query(f"SELECT doc_id, word, {COUNT_SQL}::BIGINT AS n FROM documents, {WORDS_SQL} WHERE n > 0")
+@query(f"SELECT doc_id, word, category, weight::INTEGER AS weight FROM documents, {WORDS_SQL} WHERE {COUNT_SQL} > 0")
 def keyword_hits(spark, sf_dir):
-    """Native counts of each dictionary word; words inside longer ones aren't counted."""
-    pattern = {k.word: "(?i)" + k.source + ("(?!less)" if k.word == "worth" else "") for k in WORDS}
-    counts = F.array(*[F.struct(F.lit(w).alias("word"), F.regexp_count("text", F.lit(p)).cast("long").alias("n")) for w, p in pattern.items()])
-    return table(spark, sf_dir, "documents").select("doc_id", F.inline(F.filter(counts, lambda c: c["n"] > 0)))
+    """Dictionary words of each document as they are spelt; words inside longer ones don't count."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(matching.hits(Matcher(WORDS), F.col("text"))).alias("h"))
+    return rows.where("h.method = 'exact'").select("doc_id", "h.word", "h.category", "h.weight")
 
 
 @query(f"SELECT doc_id, word, {COUNT_SQL}::BIGINT AS n FROM documents, {WORDS_SQL} WHERE n > 0")
@@ -203,20 +217,30 @@ def keyword_span_cover(spark, sf_dir):
     return rows.groupBy("doc_id", F.col("s.word").alias("word")).agg(F.count("*").alias("n"))
 
 
-@query()
+def upper_counted(word: str) -> str:
+    """SQL: how often a word stands in capitals, not after a capital."""
+    return f"len(regexp_extract_all(text, '(?:^|[^A-Z]){word.upper()}'))"
+
+
+UPPER_SQL = "CASE word " + " ".join(f"WHEN '{k.word}' THEN {upper_counted(k.word)}" + (f" - {upper_counted('worthless')}" if k.word == "worth" else "") for k in WORDS) + " END"
+
+
+@query(
+    f"""SELECT doc_id, word, CASE WHEN {UPPER_SQL} > 0 THEN 'exact' ELSE 'normalize' END AS method, weight::INTEGER AS weight
+        FROM documents, {WORDS_SQL} WHERE {COUNT_SQL} > 0"""
+)
 def variant_hits(spark, sf_dir):
-    """Hits of the matcher in text disguised with full-width letters."""
+    """Hits of the matcher in text disguised with full-width letters; what stands in capitals isn't disguised."""
     wide = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "".join(chr(0xFF41 + i) for i in range(26)))
     hits = matching.hits(Matcher(WORDS), wide)
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.word", "h.method", "h.weight")
 
 
-@query("SELECT doc_id, text AS normalized FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("SELECT doc_id, strip_accents(text) AS normalized FROM documents")
 def normalized_text(spark, sf_dir):
-    """Full-width letters read back; plain text stays as it is."""
-    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    """Full-width letters read back, accents taken off."""
     wide = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "".join(chr(0xFF41 + i) for i in range(26)))
-    return rows.select("doc_id", matching.normalized(Matcher(WORDS, CharMap()), wide).alias("normalized"))
+    return table(spark, sf_dir, "documents").select("doc_id", matching.normalized(Matcher(WORDS, CharMap()), wide).alias("normalized"))
 
 
 PHONE_SQL = "01[016789][-.\\s]?[0-9]{3,4}[-.\\s]?[0-9]{4}"
@@ -262,27 +286,27 @@ def stuffing_stats(spark, sf_dir):
     return rows.select("doc_id", F.size("s").cast("long").alias("n"), kinds.cast("long").alias("kinds"), (covered.cast("double") / F.col("letters")).alias("density"))
 
 
-def scored_documents(spark, sf_dir):
-    """Documents with evidence of words, contacts and license lines, scored like elements."""
-    docs = table(spark, sf_dir, "documents").withColumn("lowered", F.lower("text"))
-    hits = F.filter(
-        F.array(*[
-            F.when(F.contains(F.col("lowered"), F.lit(k.word)) & F.col("lowered").rlike(k.source), F.struct(F.lit(k.word).alias("word"), F.lit(k.category).alias("category"), F.lit(k.weight).alias("weight")))
-            for k in WORDS
-        ]),
-        lambda h: h.isNotNull(),
+def document_elements(spark, sf_dir):
+    """Documents as text elements of a crawl's pages; those with a mail address are hidden."""
+    hidden, none = F.col("text").rlike(MAIL), F.array().cast("array<string>")
+    text = {"type": "text", "field": "", "search_widget": "", "context_title": "", "page_title": "", "listed_title": ""}
+    lists = ("links", "frame_path", "seed_hosts", "urls")
+    return table(spark, sf_dir, "documents").select(
+        "*", F.col("doc_id").cast("string").alias("crawl_id"), F.lit(0).alias("page_ord"), F.lit(0).alias("elem_ord"), F.col("text").alias("content"),
+        F.col("source").alias("selector"), hidden.alias("hidden"), F.when(hidden, F.array(F.lit("mail"))).otherwise(none).alias("hidden_reasons"),
+        *[F.lit(v).alias(c) for c, v in text.items()], *[none.alias(c) for c in lists], F.array().cast("array<array<string>>").alias("hidden_frames"),
+        F.lit("").alias("frame_url"), F.lit(True).alias("subdomains"), F.lit(False).alias("warns"), F.array().cast(reflection.PARAMS).alias("page_params"),
     )
-    phone = F.when(F.col("text").rlike("(?U)" + PHONE_SQL), evidence.ev("contact", "phone", 1))
-    mail = F.when(F.col("text").rlike(MAIL), evidence.ev("hidden", "mail", 2))
-    rows = docs.withColumn("hits", hits).where(F.size("hits") > 0)
-    found = F.transform("hits", lambda h: evidence.ev("keyword", h["word"], h["weight"])).cast(evidence.EVIDENCE)
-    rows = rows.withColumn("evidence", evidence.gathered(found, evidence.one(phone), evidence.one(mail)).cast(evidence.EVIDENCE))
-    rows = rows.withColumn("votes", F.transform("hits", lambda h: F.struct(h["category"].alias("category"), h["weight"].alias("weight"))).cast(evidence.VOTES))
-    settings = evidence.Settings(suspect_score=2, min_evidence=1)
+
+
+def scored_documents(spark, sf_dir):
+    """Documents scored as elements: words, contacts and concealment."""
+    settings = evidence.Settings(suspect_score=2, min_evidence=1, matcher=Matcher(WORDS))
+    rows = detect.scored(document_elements(spark, sf_dir), settings)
     return rows.where(evidence.enough(settings)).withColumns(evidence.rated(settings))
 
 
-FOUND_SQL = "CASE word " + " ".join(f"WHEN '{k.word}' THEN {counted(k.word)} > 0" for k in WORDS) + " END"
+FOUND_SQL = f"({COUNT_SQL}) > 0"
 SCORED_SQL = f"""
     w AS (SELECT doc_id, text, lang, source, word, category, weight, ord FROM documents, {WORDS_SQL} WHERE {FOUND_SQL}),
     v AS (SELECT doc_id, category, sum(weight) AS weight, min(ord) AS ord FROM w GROUP BY doc_id, category),
@@ -335,15 +359,20 @@ def label_confusion(spark, sf_dir):
 
 
 @query(
-    """SELECT content, count(DISTINCT doc_id) AS page_count, min(doc_id) AS first_page, arg_min(source, doc_id) AS source
-       FROM (SELECT doc_id, source, split_part(text, chr(10), 1) AS content FROM documents) GROUP BY content HAVING count(DISTINCT doc_id) > 1"""
+    """WITH g AS (SELECT lang AS crawl, split_part(text, chr(10), 1) AS content, count(DISTINCT doc_id)::BIGINT AS page_count, min(doc_id) AS first, arg_min(source, doc_id) AS title,
+                    (min(doc_id) % 7)::INTEGER AS score FROM documents GROUP BY 1, 2)
+       SELECT crawl, id::INTEGER AS id, content, page_count, 'http://x/' || first AS first_page, title, score FROM (
+         SELECT *, row_number() OVER (PARTITION BY crawl ORDER BY score < 5, score DESC, page_count DESC, first) AS id FROM g) WHERE page_count > 1"""
 )
 def findings_grouped(spark, sf_dir):
-    """Equal content on several pages, with the attributes of the first."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", "\n")[0].alias("content"))
-    per_page = rows.groupBy("content", "doc_id").agg(F.min("source").alias("source"))
-    groups = per_page.groupBy("content").agg(F.count("*").alias("page_count"), F.min("doc_id").alias("first_page"), F.min_by("source", "doc_id").alias("source"))
-    return groups.where("page_count > 1")
+    """Equal content on several pages of a crawl, with the attributes of the first page, ranked; a language's documents are a crawl."""
+    score = (F.col("doc_id") % 7).cast("int")
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("crawl_id"), F.col("doc_id").cast("int").alias("page_ord"), F.lit(0).alias("elem_ord"), F.format_string("http://x/%d", "doc_id").alias("page_url"),
+        F.col("source").alias("page_title"), F.split("text", "\n")[0].alias("content"), F.lit("text").alias("type"), score.alias("score"), F.when(score >= 5, "high").otherwise("suspect").alias("level"),
+    )
+    groups = detect.grouped(detect.shaped(rows).withColumn("ord", F.lit(0))).where("page_count > 1")
+    return groups.select(F.col("crawl_id").alias("crawl"), "id", "content", "page_count", "first_page", F.col("page_title").alias("title"), "score")
 
 
 @query(
@@ -351,9 +380,10 @@ def findings_grouped(spark, sf_dir):
         SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, category = 'legal' DESC, doc_id) AS k FROM f) WHERE k = 1"""
 )
 def same_spot_argmax(spark, sf_dir):
-    """The strongest finding at each place, the first of equal ones."""
-    order = Window.partitionBy("source").orderBy(F.desc("score"), F.desc(F.col("category") == "legal"), "doc_id")
-    return scored_documents(spark, sf_dir).withColumn("k", F.row_number().over(order)).where("k = 1").select("source", "doc_id", "score")
+    """The strongest finding at each place, a link before others, then the first; a source is a place."""
+    kind = F.when(F.col("category") == "legal", "link").otherwise("text")
+    rows = scored_documents(spark, sf_dir).withColumns({"crawl_id": F.lit("c"), "elem_ord": F.col("doc_id").cast("int"), "type": kind})
+    return detect.strongest_by_place(rows).select("source", "doc_id", "score")
 
 
 PLACES_SQL = f"""p AS (SELECT {HOST_SQL} AS host, string_split(trim({PATH_SQL}, '/'), '/') AS parts, page_id FROM pages),
@@ -383,16 +413,15 @@ SET_SQL = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'))
 
 @query(
     f"""WITH w AS (SELECT doc_id, {SET_SQL} AS ws FROM documents)
-        SELECT a.doc_id, len(list_intersect(a.ws, b.ws))::DOUBLE / len(list_distinct(a.ws || b.ws)) AS similarity
-        FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 WHERE len(a.ws) + len(b.ws) > 0"""
+        SELECT a.doc_id, CASE WHEN len(a.ws) + len(b.ws) = 0 THEN 1 ELSE len(list_intersect(a.ws, b.ws))::DOUBLE / len(list_distinct(a.ws || b.ws)) END AS similarity
+        FROM w a JOIN w b ON b.doc_id = a.doc_id + 1"""
 )
 def word_jaccard_pairs(spark, sf_dir):
-    """How much each document shares with the next one, as snapshots of a page are compared."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    sets = [F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))) for c in ("text", "other")]
-    rows = docs.join(after, "doc_id").where(F.size(sets[0]) + F.size(sets[1]) > 0)
-    return rows.select("doc_id", (F.size(F.array_intersect(*sets)).cast("double") / F.size(F.array_union(*sets))).alias("similarity"))
+    """How much each document shares with the next one, as snapshots of a page are compared; words are extracted once."""
+    sets = table(spark, sf_dir, "documents").select("doc_id", F.transform(cloaking.words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
+    sets = stored(sets, "words")
+    after = sets.select((F.col("doc_id") - 1).alias("doc_id"), F.col("words").alias("other"))
+    return sets.join(after, "doc_id").select("doc_id", cloaking.shared_words(F.col("words"), F.col("other")).alias("similarity"))
 
 
 @query(
@@ -518,3 +547,81 @@ def snapshot_similarity(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     base = pages.where("page_id = 0").first().url
     return pages.select("page_id", cloaking.similarity(F.lit(base), F.col("url")).alias("similarity"))
+
+
+@query(
+    """SELECT page_id, CASE WHEN n * 5 < 60 THEN '1분 이내' WHEN n * 5 < 3600 THEN '약 ' || m || '분' ELSE '약 ' || m // 60 || '시간' || CASE WHEN m % 60 > 0 THEN ' ' || m % 60 || '분' ELSE '' END END AS whole,
+         CASE WHEN s <= 0 THEN '' ELSE ' · 남은 시간 약' || CASE
+           WHEN s >= 3600 THEN ' ' || s // 3600 || '시간' || CASE WHEN s % 3600 // 60 > 0 THEN ' ' || s % 3600 // 60 || '분' ELSE '' END
+           WHEN s >= 60 THEN ' ' || s // 60 || '분' || CASE WHEN s % 60 > 0 THEN ' ' || s % 60 || '초' ELSE '' END ELSE ' ' || s || '초' END END AS rest
+       FROM (SELECT page_id, page_id * 7 AS n, round_even(page_id * 7 * 5 / 60.0, 0)::BIGINT AS m, CASE WHEN page_id = 0 OR page_id >= 1200 THEN 0 ELSE (1200 - page_id) * 3 END AS s FROM pages)"""
+)
+def duration_texts(spark, sf_dir):
+    """How long a crawl will take, and what is left of it, in words."""
+    rows, page = table(spark, sf_dir, "pages").select("page_id"), F.col("page_id")
+    return rows.select("page_id", exports.estimate(page * 7).alias("whole"), exports.remaining(page, F.lit(1200), page * 3.0).alias("rest"))
+
+
+@query(f"SELECT DISTINCT {HOST_SQL} AS domain FROM pages WHERE {HOST_SQL} <> ''")
+def domain_list(spark, sf_dir):
+    """Hosts written as a file of domains and read back."""
+    path = scratch(spark, "domains")
+    whitelist.write(table(spark, sf_dir, "pages").select(F.concat(F.lit("https://"), urls.host("url"), F.lit("/")).alias("domain")), path)
+    return spark.createDataFrame([(d,) for d in whitelist.read(spark, path)], "domain string")
+
+
+def drained(stream, spark, label: str, mode: str = "append"):
+    """All that a stream gives of what is there now, as a table."""
+    out = scratch(spark, label)
+    stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", out + "-state").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def streamed(df, label: str):
+    """A table as a stream of the files that it is stored in."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+@query(
+    """WITH v AS (SELECT user_id, event_id FROM events WHERE value > 50 OR event_id % 5 = 0)
+       SELECT user_id, event_id AS seq, least(30.0, 2.0 * pow(2.0, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)) AS delay_sec FROM v"""
+)
+def throttle_stream(spark, sf_dir):
+    """Delays after each throttling, as a stream of visits is followed with state."""
+    visits = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("site"), F.col("event_id").alias("seq"), F.when((F.col("value") > 50) | (F.col("event_id") % 5 == 0), 429).otherwise(200).alias("status"),
+        F.lit("").alias("retry_after"), F.lit(False).alias("limited"),
+    )
+    found = drained(jobs.throttle_stream(streamed(visits.coalesce(1), "visits")), spark, "throttles")
+    return found.select(F.col("site").cast("long").alias("user_id"), "seq", "delay_sec")
+
+
+@query("SELECT DISTINCT url FROM pages")
+def seen_stream(spark, sf_dir):
+    """Addresses of a stream, once each."""
+    rows = table(spark, sf_dir, "pages").select("url", F.timestamp_seconds(F.lit(1_700_000_000)).alias("at"))
+    return drained(jobs.new_addresses(streamed(rows.unionByName(rows), "addresses")), spark, "seen").select("url")
+
+
+@query(
+    """SELECT source AS site, count(*) AS n, min(doc_id) AS first FROM (SELECT source, doc_id, left(regexp_replace(text, '\\s+', '', 'g'), 5000) AS t FROM documents) WHERE length(t) >= 20
+       GROUP BY source, t HAVING count(*) >= 2"""
+)
+def screen_tracker(spark, sf_dir):
+    """Screens that several addresses of a site have shown so far; the same plan counts a stream."""
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("site"), F.format_string("%012d", "doc_id").alias("url"), F.lit("").alias("title"), "text")
+    return jobs.screen_counts(rows).where("count >= 2").select("site", F.col("count").alias("n"), F.col("first_url").cast("long").alias("first"))
+
+
+@query(cases.oracle("streamed_findings"))
+def streamed_findings(spark, sf_dir):
+    """Findings of stored crawls as they arrive, batch by batch."""
+    found = cases.crawls(spark, sf_dir)
+    source, out = scratch(spark, "crawls"), scratch(spark, "found")
+    found.write.json(source)
+    crawls = spark.readStream.schema(found.schema).json(source)
+    jobs.detect_stream(crawls, out, out + "-state").awaitTermination()
+    rows = spark.read.parquet(out)
+    return rows.select(F.col("crawl_id").cast("long").alias("page_id"), "page_ord", "type", "selector", "score", "level", "pattern")

@@ -12,12 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 WRITTEN: dict[str, list[str]] = defaultdict(list)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table and read it back: what comes after it doesn't compute it again, even when executors are lost.
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder.
 
     The folder is the session's spark.checkpoint.dir; where that is unset, a local one, which only local mode allows.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.sparkContext.master.partition("[")[0] != "local":
@@ -26,8 +25,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     WRITTEN[spark.sparkContext.applicationId].append(path)
+    return path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table and read it back: what comes after it doesn't compute it again, even when executors are lost."""
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession, keep: int = 0) -> int:

@@ -59,7 +59,7 @@ def listed(files: DataFrame) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = cells(unpacked(data.as_py() or b""))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.string())], ["list", "ord", "url"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.string())], ["list", "ord", "url"])
 
     raw = files.mapInArrow(split, "list string, ord long, url string")
     normal = raw.select("list", "ord", urls.normalized("url").alias("url")).where("url <> ''")
