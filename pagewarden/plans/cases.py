@@ -467,7 +467,7 @@ def crawl_joins(spark, sf_dir):
     fresh = frontier.new_links(after, pages.where("page_ord = 1"), own).groupBy("crawl_id").agg(F.array_join(F.array_sort(F.collect_list("url")), " ").alias("fresh"))
     names = rows.select("crawl_id", F.posexplode(F.array(F.lit(""), F.lit("첫 글"), F.lit("둘째"))).alias("ord", "title"), F.concat("site", F.lit("a#x")).alias("url"))
     titled = frontier.titled(pages, names).where("listed_title <> ''").groupBy("crawl_id").agg(F.max(F.concat_ws("=", "url", "listed_title")).alias("titled"))
-    robots = rows.select("site", F.when(F.col("page_id") % 2 == 0, "User-agent: *\nDisallow: /dir/").alias("robots"))
+    robots = rows.select("site", F.when(F.pmod("page_id", F.lit(len(HREFS))) != 1, "User-agent: *\nDisallow: /dir/").alias("robots"))
     refused = frontier.skipped(pages.join(rows.select("crawl_id", "site"), "crawl_id").select("site", "url"), robots).groupBy("site").agg(F.array_join(F.array_sort(F.collect_list("url")), " ").alias("refused"))
     every = rows.select("page_id", "crawl_id", "site").join(linked, "crawl_id", "left").join(fresh, "crawl_id", "left").join(titled, "crawl_id", "left").join(refused, "site", "left")
     return every.select("page_id", F.coalesce("linked", F.lit(0)).alias("linked"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("fresh", "titled", "refused")])
