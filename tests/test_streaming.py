@@ -51,6 +51,10 @@ def test_sessions_over_a_stream(spark, tmp_path):
 
 
 def test_sql_names(spark):
-    assert sql.register(spark) == ["ad_hits", "ad_spans", "ad_normalize", "query_params"]
+    assert sql.register(spark) == ["ad_hits", "ad_spans", "ad_normalize", "query_params", "extract_elements", "parse_feed"]
+    found = spark.sql("SELECT type, content, href FROM extract_elements('<a href=/x>글</a>', 'http://a.kr/') ORDER BY ord").collect()
+    assert [tuple(r) for r in found] == [("link", "글", "http://a.kr/x")]
+    feed = spark.sql("SELECT kind, url, title FROM parse_feed(CAST('<rss><item><title>t</title><link>/1</link></item></rss>' AS BINARY), 'http://a.kr/')").collect()
+    assert [tuple(r) for r in feed] == [("rss", "http://a.kr/1", "t")]
     row = spark.sql("SELECT ad_hits('밖콰라')[0].method AS m, ad_normalize('ⓐ') AS n, query_params('http://a/?b=c')[0].value AS v, size(ad_spans('카지노')) AS s").first()
     assert (row.m, row.n, row.v, row.s) == ("sound", "a", "c", 1)
