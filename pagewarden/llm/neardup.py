@@ -9,9 +9,11 @@ Only prefixes are stored and shuffled, a fifth of the shingles, and after one ag
 shingles that several texts have (a bitmap of a fixed size tells which; what it lets through besides finds no
 partner). Texts of candidate pairs are read again, and their sets compared by 32 bits of each shingle's hash.
 
-Texts of one set are one node. Only pairs that aren't yet connected are verified: where texts that share prefix
-shingles would make many pairs, rounds against one pivot each connect large groups first, at a cost in proportion
-to the group. What is left unconnected is then compared pair by pair.
+Texts of one set are one node. Only pairs that aren't yet connected are verified: a round against one pivot of
+each group of texts that share a prefix shingle connects most of what is alike, at a cost in proportion to the
+group; further ones follow where many pairs are left. What is left unconnected is then compared pair by pair. In
+large groups the join itself drops pairs that differ in more than a threshold allows: of each set the parities of
+its hashes in ``SKETCH`` classes are kept, and two sets differ in at least as many shingles as parities.
 
 Words are split at ASCII white space, ASCII letters lower-cased, as in ``simhash``. A text of fewer words than a
 shingle has is one shingle; null texts and texts without words are one empty set. Ids are integers (cast to long).
@@ -39,10 +41,13 @@ THRESHOLD = 0.8
 #: Documents of the sample that orders shingles, and the most frequent of its shingles that are told apart.
 SAMPLE_ROWS = 10_000
 FREQUENT = 500_000
-#: All open pairs are compared once there are under so many, or so many a row, or after so many rounds of pivots.
+#: After a round of pivots all open pairs are compared once there are under so many, or so many a row, or after so many rounds.
 PAIRS = 2_000_000
 PAIRS_PER_ROW = 200
 ROUNDS = 4
+#: Classes of hashes whose parities are kept of each set (a multiple of 64), and the size of groups from which their pairs are sifted by these.
+SKETCH = 2048
+LARGE = 16
 
 
 def shingles(text: str | None, hasher: Hasher) -> np.ndarray:
@@ -81,15 +86,22 @@ def set_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).astype(np.int64))
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether a set has an odd number of shingles, for each class of hashes, as bits."""
+    odd = np.bincount((found % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, rows: int, size: int, threshold: float) -> DataFrame:
-    """(id, twin, fp, n, prefix): hashes of each row's text and of its set, the set's size and its first shingles."""
+    """(id, twin, fp, n, sketch, prefix): hashes of each row's text and of its set, the set's size, parities and first shingles."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col, rows, size))
-    schema = pa.schema([("id", pa.int64()), ("twin", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("id", pa.int64()), ("twin", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("sketch", longs), ("prefix", longs)])
 
     def made(batches):
         hasher, (keys, counts) = Hasher(size), sent.value
         for batch in batches:
-            fps, sizes, prefixes = [], [], []
+            fps, sizes, sketches, prefixes = [], [], [], []
             for text in batch.column(2):
                 found = shingles(text.as_py(), hasher)
                 known = np.zeros(len(found), np.int64)
@@ -99,12 +111,13 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, rows: int, size: i
                 first = found[np.argsort(known, kind="stable")][: prefix_length(len(found), threshold)]
                 fps.append(set_of(found))
                 sizes.append(len(found))
+                sketches.append(parities(found))
                 prefixes.append(first.view(np.int64))
-            columns = [batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip((fps, sizes, prefixes), list(schema)[2:]))]
+            columns = [batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip((fps, sizes, sketches, prefixes), list(schema)[2:]))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("twin"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(made, "id long, twin long, fp long, n int, prefix array<long>")
+    return texts.mapInArrow(made, "id long, twin long, fp long, n int, sketch array<long>, prefix array<long>")
 
 
 def shared_prefixes(sets: DataFrame) -> DataFrame:
@@ -146,9 +159,9 @@ def arrays_of(texts: DataFrame, twins: DataFrame, size: int) -> DataFrame:
     return rows.groupBy("fp").agg(F.first("hashes").alias("hashes"))
 
 
-def side(members: DataFrame, name: str) -> DataFrame:
+def side(members: DataFrame, name: str, *more: str) -> DataFrame:
     """One side of the pairs of a shingle's members."""
-    return members.select("h", *[F.col(c).alias(f"{name}_{c}") for c in ("fp", "n", "pos", "comp")])
+    return members.select("h", *[F.col(c).alias(f"{name}_{c}") for c in ("fp", "n", "pos", "comp", *more)])
 
 
 def possible(threshold: float):
@@ -157,6 +170,25 @@ def possible(threshold: float):
     return F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= least
 
 
+def not_too_different(threshold: float):
+    """What the parities of two sets allow: the sets differ in at least as many shingles."""
+    apart = F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int"))
+    most = F.lit((1 - threshold) / (1 + threshold)) * (F.col("a_n") + F.col("b_n")) + 1e-6
+    return F.aggregate(apart, F.lit(0), lambda total, x: total + x) <= most
+
+
+def open_pairs(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of a shingle's members (h, m, major, fp, n, pos, comp) that aren't connected and may be similar; some repeatedly."""
+    near = (F.col("a_comp") != F.col("b_comp")) & ((F.col("b_comp") == F.col("b_major")) | (F.col("a_fp") < F.col("b_fp"))) & possible(threshold)
+    large = labelled.where(F.col("m") >= LARGE)
+    sketches = sets.join(large.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("sketch").alias("sketch"))
+    found = []
+    for members, more, fits in ((labelled.where(F.col("m") < LARGE), [], near), (large.join(sketches, "fp"), ["sketch"], near & not_too_different(threshold))):
+        a, b = side(members.where("comp <> major"), "a", *more), side(members, "b", "major", *more)
+        found.append(a.join(b, "h").where(fits).select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")))
+    return found[0].union(found[1])
+
+
 def similar(pairs: DataFrame, texts: DataFrame, twins: DataFrame, size: int, threshold: float) -> DataFrame:
     """(a, b): the stored pairs whose similarity reaches the threshold. Only sets of these pairs are shuffled."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
@@ -180,24 +212,23 @@ def links(sets: DataFrame, texts: DataFrame, rows: int, size: int = SIZE, thresh
         labelled = labelled.select("fp", "n", "own", "comp", F.inline(F.arrays_zip(F.col("hs").alias("h"), F.col("places").alias("pos"))))
         groups = labelled.groupBy("h", "comp").agg(F.count("*").alias("c"))
         groups = groups.groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.max_by("comp", "c").alias("major"))
-        open_ = stored(groups.where("m * m > q"), "open", rows)
+        # after a round of pivots both members of a pair have met
+        open_ = stored(groups.where("m * m > q" if turn == 0 else "m * m > q and m > 2"), "open", rows)
         pairs = open_.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0]
         if pairs is None:
             return found
-        last = turn == ROUNDS or pairs <= max(PAIRS, PAIRS_PER_ROW * rows)
-        labelled = stored(labelled.join(open_.select("h", "major"), "h"), "labelled")
+        last = turn == ROUNDS or (turn > 0 and pairs <= max(PAIRS, PAIRS_PER_ROW * rows))
+        labelled = stored(labelled.join(open_.select("h", "m", "major"), "h"), "labelled")
         if last:  # all pairs of different components
-            a, b = side(labelled.where("comp <> major"), "a"), side(labelled, "b").join(open_.select("h", "major"), "h")
-            near = (F.col("a_comp") != F.col("b_comp")) & ((F.col("b_comp") == F.col("major")) | (F.col("a_fp") < F.col("b_fp")))
+            new = open_pairs(labelled, sets, threshold).distinct()
         else:  # each against one of the group that has little of its own, as originals of copies do; later ones lie outside of its largest component
             order = F.struct((F.col("comp") == F.col("major")) if turn else F.lit(False), "own", F.xxhash64("fp", F.lit(turn)))
             pivots = labelled.groupBy("h").agg(F.min_by(F.struct("fp", "n", "pos", "comp"), order).alias("p")).select("h", "p.*")
-            a, b = side(pivots, "a"), side(labelled, "b")
-            near = F.col("a_comp") != F.col("b_comp")
-        new = a.join(b, "h").where(near & possible(threshold)).select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
+            met = side(pivots, "a").join(side(labelled, "b"), "h").where((F.col("a_comp") != F.col("b_comp")) & possible(threshold))
+            new = met.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
         if tried is not None:
             new = new.join(tried, ["a", "b"], "left_anti")
-        new = stored(new, "pairs", int(pairs) if last else None)
+        new = stored(new, "pairs")
         edges = stored(similar(new, texts, twins, size, threshold), "similar", rows)
         found = edges if found is None else found.union(edges)
         tried = new if tried is None else tried.union(new)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from pagewarden.llm import neardup, simhash
@@ -88,3 +89,40 @@ def test_stage_of_the_pipeline(spark, docs):
     rows = planted(3, 6)
     kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs(rows), "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_components(rows)))
+
+
+def cluster(size, seed=9):
+    """Copies of one text, each with a few words replaced: alike to the original, hardly to each other."""
+    rng = random.Random(seed)
+    original, out = [f"w{i}" for i in range(300)], []
+    for k in range(size):
+        words = list(original)
+        for _ in range(rng.randint(1, 9) if k else 0):
+            words[rng.randrange(len(words))] = f"x{rng.random()}"
+        out.append(" ".join(words))
+    return list(enumerate(out))
+
+
+def test_pairs_grow_with_a_group_and_not_with_its_square(docs, monkeypatch):
+    """All pairs of the group used to be verified."""
+    verified, whole = [], neardup.similar
+
+    def similar(pairs, *more):
+        verified.append(pairs.count())
+        return whole(pairs, *more)
+
+    monkeypatch.setattr(neardup, "similar", similar)
+    rows = cluster(80)
+    check(docs, rows)
+    assert sum(verified) < 80 * 79 / 2 / 3
+
+
+def test_parities_drop_no_similar_pair():
+    rng = np.random.default_rng(4)
+    for n in (1, 7, 300, 5000):
+        for changed in (0, 1, n // 10, n // 2):
+            a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+            b = np.unique(np.concatenate((a[changed:], rng.integers(0, 1 << 63, changed, np.uint64))))
+            apart = int(np.bitwise_count((neardup.parities(a) ^ neardup.parities(b)).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(a, b))
+            assert n != 300 or changed != n // 2 or apart > (len(a) + len(b)) / 9
