@@ -35,7 +35,8 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """Keep the document with the smallest id of each group of near duplicates: SimHash, checked by the Jaccard similarity of
+    five-word shingles, 0.8 or more, and what lies outside its radius by prefix filtering."""
     return neardup.drop_near_duplicates(docs)
 
 

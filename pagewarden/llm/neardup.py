@@ -1,7 +1,9 @@
 """Near duplicates by the exact Jaccard similarity of word shingles: operator 10 where a similarity is asked for.
 
 Two texts are linked if their sets of distinct five-word shingles have a Jaccard similarity of ``threshold`` or
-more. Candidates come from prefix filtering, which misses nothing: with all shingles in one order, two such sets
+more. SimHash comes first: fingerprints that multi-index hashing links (``simhash``, with its own settings) name
+pairs, and those that reach the threshold are connected. Such fingerprints find about a fifth of the links, so
+prefix filtering follows for the rest and misses nothing: with all shingles in one order, two such sets
 share a shingle among the first n - ceil(threshold * n) + 1 of each. The order puts shingles that are frequent in
 a bounded sample last; any order gives the same links, this one keeps common passages out of the prefixes.
 
@@ -31,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewarden.llm import simhash
 from pagewarden.llm.common import bitmap, bounded_batches, marked, stored
 from pagewarden.llm.decontaminate import Hasher
 from pagewarden.llm.groups import components, connected, one_of_each
@@ -93,15 +96,15 @@ def parities(found: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, rows: int, size: int, threshold: float) -> DataFrame:
-    """(id, twin, fp, n, sketch, prefix): hashes of each row's text and of its set, the set's size, parities and first shingles."""
+    """(id, twin, fp, sim, n, sketch, prefix): hashes of each row's text and of its set, the text's fingerprint, the set's size, parities and first shingles."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col, rows, size))
     longs = pa.list_(pa.int64())
-    schema = pa.schema([("id", pa.int64()), ("twin", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("sketch", longs), ("prefix", longs)])
+    schema = pa.schema([("id", pa.int64()), ("twin", pa.int64()), ("fp", pa.int64()), ("sim", pa.int64()), ("n", pa.int32()), ("sketch", longs), ("prefix", longs)])
 
     def made(batches):
         hasher, (keys, counts) = Hasher(size), sent.value
         for batch in batches:
-            fps, sizes, sketches, prefixes = [], [], [], []
+            fps, sims, sizes, sketches, prefixes = [], [], [], [], []
             for text in batch.column(2):
                 found = shingles(text.as_py(), hasher)
                 known = np.zeros(len(found), np.int64)
@@ -110,14 +113,24 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, rows: int, size: i
                     known = np.where(keys[at] == found, counts[at], 0)
                 first = found[np.argsort(known, kind="stable")][: prefix_length(len(found), threshold)]
                 fps.append(set_of(found))
+                sims.append(simhash.signed(simhash.fingerprint(text.as_py())))
                 sizes.append(len(found))
                 sketches.append(parities(found))
                 prefixes.append(first.view(np.int64))
-            columns = [batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip((fps, sizes, sketches, prefixes), list(schema)[2:]))]
+            columns = [batch.column(0), batch.column(1), *(pa.array(c, f.type) for c, f in zip((fps, sims, sizes, sketches, prefixes), list(schema)[2:]))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("twin"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(made, "id long, twin long, fp long, n int, sketch array<long>, prefix array<long>")
+    return texts.mapInArrow(made, "id long, twin long, fp long, sim long, n int, sketch array<long>, prefix array<long>")
+
+
+def fingerprint_pairs(sets: DataFrame, rows: int) -> DataFrame:
+    """(a, b), a < b: sets whose fingerprints are equal or linked by multi-index hashing; one set stands for all of a fingerprint."""
+    nodes = stored(sets.groupBy("sim").agg(F.min("fp").alias("rep")), "nodes", rows)
+    left, right = (nodes.select(F.col("sim").alias(c), F.col("rep").alias(f"{c}_fp")) for c in "ab")
+    near = simhash.links(nodes.select(F.col("sim").alias("fp"))).join(left, "a").join(right, "b")
+    pairs = near.select("a_fp", "b_fp").union(sets.select("sim", "fp").join(nodes, "sim").select("fp", "rep")).where("a_fp <> b_fp")
+    return pairs.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
 
 
 def shared_prefixes(sets: DataFrame) -> DataFrame:
@@ -203,7 +216,8 @@ def links(sets: DataFrame, texts: DataFrame, rows: int, size: int = SIZE, thresh
     """(a, b): pairs of similar sets; every two similar sets are connected by these. None if there are none."""
     twins = stored(sets.groupBy("fp").agg(F.min("twin").alias("twin")), "twins", rows)
     members = stored(shared_prefixes(sets), "members")
-    found, tried = None, None
+    tried = stored(fingerprint_pairs(sets, rows), "pairs", rows)
+    found = None if tried.isEmpty() else stored(similar(tried, texts, twins, size, threshold), "similar", rows)
     for turn in range(ROUNDS + 1):
         labelled = members.withColumn("comp", F.col("fp"))
         if found is not None:
@@ -226,12 +240,10 @@ def links(sets: DataFrame, texts: DataFrame, rows: int, size: int = SIZE, thresh
             pivots = labelled.groupBy("h").agg(F.min_by(F.struct("fp", "n", "pos", "comp"), order).alias("p")).select("h", "p.*")
             met = side(pivots, "a").join(side(labelled, "b"), "h").where((F.col("a_comp") != F.col("b_comp")) & possible(threshold))
             new = met.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
-        if tried is not None:
-            new = new.join(tried, ["a", "b"], "left_anti")
-        new = stored(new, "pairs")
+        new = stored(new.join(tried, ["a", "b"], "left_anti"), "pairs")
         edges = stored(similar(new, texts, twins, size, threshold), "similar", rows)
         found = edges if found is None else found.union(edges)
-        tried = new if tried is None else tried.union(new)
+        tried = tried.union(new)
         if last:
             return found
 

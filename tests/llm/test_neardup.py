@@ -126,3 +126,19 @@ def test_parities_drop_no_similar_pair():
             apart = int(np.bitwise_count((neardup.parities(a) ^ neardup.parities(b)).view(np.uint64)).sum())
             assert apart <= len(np.setxor1d(a, b))
             assert n != 300 or changed != n // 2 or apart > (len(a) + len(b)) / 9
+
+
+def test_simhash_names_the_first_pairs(docs, monkeypatch):
+    """The stage used to have no fingerprints."""
+    verified, whole = [], neardup.similar
+
+    def similar(pairs, *more):
+        verified.append({(r.a, r.b) for r in pairs.collect()})
+        return whole(pairs, *more)
+
+    monkeypatch.setattr(neardup, "similar", similar)
+    rows = [(k, " ".join(f"v{k // 3}{i * (i != 50 * (k % 3))}" for i in range(1, 1500))) for k in range(9)]
+    check(docs, rows)
+    sets = [(neardup.set_of(neardup.shingles(t, neardup.Hasher(5))), simhash.fingerprint(t)) for _, t in rows]
+    expected = {tuple(sorted((a, b))) for a, x in sets for b, y in sets if a != b and (x ^ y).bit_count() <= 3}
+    assert expected and verified[0] <= expected and {x for p in verified[0] for x in p} == {x for p in expected for x in p}
