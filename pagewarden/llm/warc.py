@@ -10,7 +10,11 @@ Reading: archives of plain records, of gzip members with one record or several,
 version line, its fields, all of its block, the closing blank lines, and the digests that it states. Where a check
 fails, the reader searches for whichever comes next, gzip member or version line, that passes all of them, goes on
 from there, and logs the bytes in between as a quarantined gap. What a broken member gives before it breaks is
-searched for records as well. An archive is read whole by one task.
+searched for records as well. An archive is read whole by one task, in several copies: two
+of 127 MB at once are too much for an executor with 1.8 GB of heap.
+
+The round trip does without that: all records of its archives open with one WARC-Warcinfo-ID, drawn when they are
+written, so no payload has it. Spark's text reader splits archives there, and a task holds a batch of records at most.
 
 Ids are integers (cast to long). Defined results: null payloads are empty. Rows with equal id and payload are all
 responses if their id is the smallest; null ids never are the smallest, unless all are null. A null url gives no
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 from base64 import b32encode
 from collections.abc import Iterator
@@ -42,6 +47,11 @@ EITHER = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 FIELDS = ("warc-type", "warc-record-id", "content-length")
+FOUND = pa.schema(
+    [("archive", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("inner", pa.int64())]
+    + [(n, pa.string()) for n in ("reason", "record_type", "record_id", "target_uri", "payload_digest")]
+    + [("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("payload", pa.binary())]
+)
 
 
 def digest(data: bytes) -> str:
@@ -49,7 +59,12 @@ def digest(data: bytes) -> str:
     return b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None) -> bytes:
+def opening(info: str | None) -> bytes:
+    """What a record opens with."""
+    return b"WARC/1.1\r\n" + (f"WARC-Warcinfo-ID: <{info}>\r\n".encode() if info else b"")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, info: str | None = None) -> bytes:
     """The bytes of one record; a revisit if it refers to another page."""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is None:
@@ -65,8 +80,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
     ]
-    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields)
-    return head.encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
+    head = "".join(f"{k}: {v}\r\n" for k, v in fields)
+    return opening(info) + head.encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
 
 class Found(NamedTuple):
@@ -195,8 +210,10 @@ def payload_digests(pages: DataFrame, id_col: str, payload_col: str) -> DataFram
     return rows.mapInArrow(digested, "id long, digest string, size long")
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> None:
-    """Write archives of all pages to a folder."""
+def write(
+    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, info: str | None = None
+) -> None:
+    """Write archives of all pages to a folder; ``info`` is the WARC-Warcinfo-ID of their records."""
     bounded_batches(pages.sparkSession)
     known = stored(payload_digests(pages, id_col, payload_col), "digests")
     firsts = known.where(F.col("size") >= least).groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -219,7 +236,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
             for i, url, payload, refs in zip(*(c.to_pylist() for c in batch.columns)):
                 payload = payload or b""
                 refers_to = {r["digest"]: r["first"] for r in refs}.get(digest(payload)) if refs else None
-                new = record(i, url, payload, refers_to)
+                new = record(i, url, payload, refers_to, info)
                 if held and size + len(new) > chunk:
                     yield put_together()
                     held, size = [], 0
@@ -236,48 +253,49 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         records.write.mode("append").option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
 
 
-def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
+def read(spark: SparkSession, path: str, with_payload: bool = False, info: str | None = None) -> DataFrame:
     """Every record and gap of the archives in a folder.
 
     A gap has a reason and no record fields. Columns: archive, start, length, inner, reason, record_type, record_id,
-    target_uri, payload_digest, payload_bytes, refers_to, payload (null unless asked for).
+    target_uri, payload_digest, payload_bytes, refers_to, payload (null unless asked for). With ``info``, that of plain
+    archives that were written with it, tasks share an archive; they don't know where in it they start, so start is null.
     """
     bounded_batches(spark)
-    schema = pa.schema(
-        [("archive", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("inner", pa.int64())]
-        + [(n, pa.string()) for n in ("reason", "record_type", "record_id", "target_uri", "payload_digest")]
-        + [("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("payload", pa.binary())]
-    )
+    begin = opening(info) if info else b""
 
     def rows(archive: str, data: bytes) -> Iterator[tuple]:
         for x in salvage(data):
             f = x.fields
             stated = f.get("warc-payload-digest", "").removeprefix("sha1:")
             yield (
-                archive, x.offset, x.length, x.inner, x.reason, f.get("warc-type"), f.get("warc-record-id"), f.get("warc-target-uri"),
+                archive, None if begin else x.offset, x.length, x.inner, x.reason, f.get("warc-type"), f.get("warc-record-id"), f.get("warc-target-uri"),
                 None if x.reason else stated or digest(x.payload), None if x.reason else x.payload_bytes, f.get("warc-refers-to"),
                 x.payload if with_payload and not x.reason else None,
             )
 
     def salvaged(batches):
         for batch in batches:
+            out = []
             for archive, data in zip(batch.column(0), batch.column(1)):
-                out = []
-                for row in rows(archive.as_py(), data.as_py()):
+                for row in rows(archive.as_py(), begin + data.as_py()):
                     out.append(row)
                     if len(out) == 256:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), FOUND.types)], schema=FOUND)
                         out = []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), FOUND.types)], schema=FOUND)
 
     kinds = "archive string, start long, length long, inner long, reason string, record_type string, record_id string, target_uri string, payload_digest string"
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+    if info:
+        texts = spark.read.option("lineSep", begin.decode()).text(path)
+        files = texts.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("content")).where(F.octet_length("content") > 0)
+    else:
+        files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
     return files.mapInArrow(salvaged, kinds + ", payload_bytes long, refers_to string, payload binary")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
     """Write archives to a new shared folder and read them back."""
-    path = scratch(pages.sparkSession, "warc")
-    write(pages, path, id_col, url_col, payload_col, least)
-    return read(pages.sparkSession, path)
+    path, info = scratch(pages.sparkSession, "warc"), f"urn:uuid:{uuid.uuid4()}"
+    write(pages, path, id_col, url_col, payload_col, least, info)
+    return read(pages.sparkSession, path, info=info)

@@ -116,3 +116,25 @@ def test_gaps_are_rows(spark, tmp_path):
     assert [(r.archive.rpartition("/")[2], r.length, r.reason) for r in got if r.reason][0] == ("a.warc", 2, "no version line")
     assert sum(r.reason is not None for r in got) == 2
     assert [r.record_type for r in got if not r.reason] == ["response", "response", "revisit"]
+
+
+def test_tasks_share_an_archive(spark, monkeypatch):
+    """A task that holds a whole archive of full size takes more than an executor has."""
+    openings = ["WARC/1.1\r\n", "WARC/1.1\r\nWARC-Warcinfo-ID: <urn:uuid:", "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n"]
+    rows = [(i, f"http://a/{i}", openings[i % 3] * (i % 11) + "x" * (i % 97)) for i in range(300)]
+    pages = build(spark, rows).coalesce(1)
+    number = lambda s: int(s[10:-1]) if s else None
+    for size in (1 << 20, 4099, 701):
+        with monkeypatch.context() as m:
+            m.setattr(warc, "read", lambda s, path, info=None, read=warc.read: read(s, path, True, info))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            try:
+                found = warc.round_trip(pages)
+                got, tasks = found.collect(), found.rdd.getNumPartitions()
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+                spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert len({r.archive for r in got}) == 1 and (tasks > 10 or size > 5000)
+        assert sorted(repr((number(r.record_id), r.payload_bytes, r.payload_digest, r.record_type, number(r.refers_to))) for r in got) == expected(rows)
+        assert all(bytes(r.payload).decode() == (rows[number(r.record_id)][2] if r.record_type == "response" else "") for r in got)
