@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections import defaultdict
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,9 @@ BATCH_BYTES = 8 << 20
 BROADCAST_BYTES = 64 << 20
 #: Bytes of a row of one or two numbers in such a table.
 NARROW_ROW = 64
-#: A bitmap of marked keys has two to the power of this many bits, however many keys there are.
+#: A bitmap of marked keys has two to the power of this many bits at most, however many keys there are, and about so many bits a key if that is less.
 BITMAP = 28
+BITS_PER_KEY = 128
 #: Rows of a narrow table in a file.
 ROWS_PER_FILE = 200_000
 
@@ -73,10 +75,40 @@ def forget(spark: SparkSession) -> int:
     Results that haven't been written yet read these tables, so this is for the end of a job.
     """
     paths = WRITTEN.pop(spark.sparkContext.applicationId, [])
+    delete(spark, paths)
+    return len(paths)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders, in whatever store they are."""
     for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    return len(paths)
+
+
+@contextmanager
+def passing(spark: SparkSession, *but: str):
+    """Tables stored within are deleted at the end, all but those of these labels."""
+    written = WRITTEN[spark.sparkContext.applicationId]
+    start = len(written)
+    try:
+        yield
+    finally:
+        gone = [p for p in written[start:] if p.rpartition("/")[2].rpartition("-")[0] not in but]
+        written[start:] = [p for p in written[start:] if p not in gone]
+        delete(spark, gone)
+
+
+@contextmanager
+def tidied(spark: SparkSession):
+    """Shuffle files of a plan that runs within go once it has ended, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
@@ -136,20 +168,28 @@ def without(docs: DataFrame, column: str, gone: DataFrame) -> DataFrame:
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
-    """Marks the hashes of a one-column table in a bitmap of a fixed size.
+    """Marks the hashes of a one-column table in a bitmap of a bounded size.
 
     Tasks put bits together to words, so the driver gets the bitmap and never the keys. ``marked`` is true for
-    every key and for few other hashes, the more of these the more keys there are.
+    every key and for few other hashes, the more of these the more keys there are. Few keys make a small bitmap: every
+    executor and the driver keep it on disk while it is in use.
     """
     places = keys.select(F.shiftrightunsigned(F.col(keys.columns[0]), 64 - BITMAP).alias("place"))
     bits = places.selectExpr("cast(shiftright(place, 6) AS int) AS word", "shiftleft(1L, cast(place & 63 AS int)) AS bit")
     found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITMAP - 6), np.uint64)
-    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    words, values = found["word"].to_numpy().astype(np.int64), found["bits"].to_numpy().view(np.uint64)
+    enough = (BITS_PER_KEY * int(np.bitwise_count(values).sum())).bit_length()
+    out = np.zeros(1 << (min(BITMAP, max(6, enough)) - 6), np.uint64)
+    if len(words) and enough < BITMAP:
+        for k in range(64):
+            place = (words[values >> np.uint64(k) & np.uint64(1) == 1] * 64 + k) >> (BITMAP - enough)
+            np.bitwise_or.at(out, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+    else:
+        out[words] = values
     return out
 
 
 def marked(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Which of the hashes (64 bits each) are marked."""
-    place = hashes.view(np.uint64) >> np.uint64(64 - BITMAP)
+    place = hashes.view(np.uint64) >> np.uint64(64 - (64 * len(bits)).bit_length() + 1)
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.llm import simhash
-from pagewarden.llm.common import bitmap, bounded_batches, marked, stored
+from pagewarden.llm.common import bitmap, bounded_batches, marked, passing, stored, tidied
 from pagewarden.llm.decontaminate import Hasher
 from pagewarden.llm.groups import components, connected, one_of_each
 from pagewarden.llm.simhash import LOWER
@@ -96,7 +96,7 @@ def parities(found: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, rows: int, size: int, threshold: float) -> DataFrame:
-    """(id, twin, fp, sim, n, sketch, prefix): hashes of each row's text and of its set, the text's fingerprint, the set's size, parities and first shingles."""
+    """(id, twin, fp, sim, n, sketch, prefix), stored: hashes of each row's text and of its set, the text's fingerprint, the set's size, parities and first shingles."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col, rows, size))
     longs = pa.list_(pa.int64())
     schema = pa.schema([("id", pa.int64()), ("twin", pa.int64()), ("fp", pa.int64()), ("sim", pa.int64()), ("n", pa.int32()), ("sketch", longs), ("prefix", longs)])
@@ -121,7 +121,9 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, rows: int, size: i
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("twin"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(made, "id long, twin long, fp long, sim long, n int, sketch array<long>, prefix array<long>")
+    out = stored(texts.mapInArrow(made, "id long, twin long, fp long, sim long, n int, sketch array<long>, prefix array<long>"), "sets")
+    sent.destroy()
+    return out
 
 
 def fingerprint_pairs(sets: DataFrame, rows: int) -> DataFrame:
@@ -134,7 +136,7 @@ def fingerprint_pairs(sets: DataFrame, rows: int) -> DataFrame:
 
 
 def shared_prefixes(sets: DataFrame) -> DataFrame:
-    """(fp, n, own, hs, places): of each set the prefix shingles that other sets have in their prefixes, and a few more; ``own``: how many others there are."""
+    """(fp, n, own, hs, places), stored: of each set the prefix shingles that other sets have in their prefixes, and a few more; ``own``: how many others there are."""
     several = sets.select(F.explode("prefix").alias("h")).groupBy("h").count().where("count > 1")  # copies of a text count too: they find no partner
     sent = sets.sparkSession.sparkContext.broadcast(bitmap(several.select("h")))
     kinds = [("fp", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("hs", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))]
@@ -152,11 +154,13 @@ def shared_prefixes(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(kinds))
 
     rows = sets.select("fp", "n", "prefix").mapInArrow(kept, "fp long, n int, own int, hs array<long>, places array<int>").where(F.size("hs") > 0)
-    return rows.groupBy("fp").agg(F.first(F.struct("n", "own", "hs", "places")).alias("s")).select("fp", "s.*")
+    out = stored(rows.groupBy("fp").agg(F.first(F.struct("n", "own", "hs", "places")).alias("s")).select("fp", "s.*"), "members")
+    sent.destroy()
+    return out
 
 
 def arrays_of(texts: DataFrame, twins: DataFrame, size: int) -> DataFrame:
-    """(fp, hashes): sets of the texts (text) whose hashes are in a table (twin), and of a few more."""
+    """(fp, hashes), stored: sets of the texts (text) whose hashes are in a table (twin), and of a few more."""
     sent = texts.sparkSession.sparkContext.broadcast(bitmap(twins))
     schema = pa.schema([("fp", pa.int64()), ("hashes", pa.list_(pa.int32()))])
 
@@ -169,7 +173,9 @@ def arrays_of(texts: DataFrame, twins: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(map(set_of, found), pa.int64()), pa.array(hashes, schema[1].type)], schema=schema)
 
     rows = texts.select(F.xxhash64("text").alias("twin"), "text").mapInArrow(made, "fp long, hashes array<int>")
-    return rows.groupBy("fp").agg(F.first("hashes").alias("hashes"))
+    out = stored(rows.groupBy("fp").agg(F.first("hashes").alias("hashes")), "arrays")
+    sent.destroy()
+    return out
 
 
 def side(members: DataFrame, name: str, *more: str) -> DataFrame:
@@ -205,7 +211,7 @@ def open_pairs(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataFr
 def similar(pairs: DataFrame, texts: DataFrame, twins: DataFrame, size: int, threshold: float) -> DataFrame:
     """(a, b): the stored pairs whose similarity reaches the threshold. Only sets of these pairs are shuffled."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    arrays = stored(arrays_of(texts, twins.join(wanted, "fp", "left_semi").select("twin"), size), "arrays")
+    arrays = arrays_of(texts, twins.join(wanted, "fp", "left_semi").select("twin"), size)
     left, right = (arrays.select(F.col("fp").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in "ab")
     shared = F.size(F.array_intersect("a_hashes", "b_hashes"))
     total = F.size("a_hashes") + F.size("b_hashes")
@@ -214,50 +220,55 @@ def similar(pairs: DataFrame, texts: DataFrame, twins: DataFrame, size: int, thr
 
 def links(sets: DataFrame, texts: DataFrame, rows: int, size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame | None:
     """(a, b): pairs of similar sets; every two similar sets are connected by these. None if there are none."""
+    spark = sets.sparkSession
     twins = stored(sets.groupBy("fp").agg(F.min("twin").alias("twin")), "twins", rows)
-    members = stored(shared_prefixes(sets), "members")
-    tried = stored(fingerprint_pairs(sets, rows), "pairs", rows)
-    found = None if tried.isEmpty() else stored(similar(tried, texts, twins, size, threshold), "similar", rows)
+    members = shared_prefixes(sets)
+    with passing(spark, "pairs", "similar"):
+        tried = stored(fingerprint_pairs(sets, rows), "pairs", rows)
+        found = None if tried.isEmpty() else stored(similar(tried, texts, twins, size, threshold), "similar", rows)
     for turn in range(ROUNDS + 1):
-        labelled = members.withColumn("comp", F.col("fp"))
-        if found is not None:
-            roots = components(found, rows).withColumnsRenamed({"node": "fp", "root": "_root"})
-            labelled = members.join(roots, "fp", "left").withColumn("comp", F.coalesce("_root", "fp"))
-        labelled = labelled.select("fp", "n", "own", "comp", F.inline(F.arrays_zip(F.col("hs").alias("h"), F.col("places").alias("pos"))))
-        groups = labelled.groupBy("h", "comp").agg(F.count("*").alias("c"))
-        groups = groups.groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.max_by("comp", "c").alias("major"))
-        # after a round of pivots both members of a pair have met
-        open_ = stored(groups.where("m * m > q" if turn == 0 else "m * m > q and m > 2"), "open", rows)
-        pairs = open_.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0]
-        if pairs is None:
-            return found
-        last = turn == ROUNDS or (turn > 0 and pairs <= max(PAIRS, PAIRS_PER_ROW * rows))
-        labelled = stored(labelled.join(open_.select("h", "m", "major"), "h"), "labelled")
-        if last:  # all pairs of different components
-            new = open_pairs(labelled, sets, threshold).distinct()
-        else:  # each against one of the group that has little of its own, as originals of copies do; later ones lie outside of its largest component
-            order = F.struct((F.col("comp") == F.col("major")) if turn else F.lit(False), "own", F.xxhash64("fp", F.lit(turn)))
-            pivots = labelled.groupBy("h").agg(F.min_by(F.struct("fp", "n", "pos", "comp"), order).alias("p")).select("h", "p.*")
-            met = side(pivots, "a").join(side(labelled, "b"), "h").where((F.col("a_comp") != F.col("b_comp")) & possible(threshold))
-            new = met.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
-        new = stored(new.join(tried, ["a", "b"], "left_anti"), "pairs")
-        edges = stored(similar(new, texts, twins, size, threshold), "similar", rows)
-        found = edges if found is None else found.union(edges)
-        tried = tried.union(new)
-        if last:
-            return found
+        with passing(spark, "pairs", "similar"):  # what a round has stored besides goes with it
+            labelled = members.withColumn("comp", F.col("fp"))
+            if found is not None:
+                roots = components(found, rows).withColumnsRenamed({"node": "fp", "root": "_root"})
+                labelled = members.join(roots, "fp", "left").withColumn("comp", F.coalesce("_root", "fp"))
+            labelled = labelled.select("fp", "n", "own", "comp", F.inline(F.arrays_zip(F.col("hs").alias("h"), F.col("places").alias("pos"))))
+            groups = labelled.groupBy("h", "comp").agg(F.count("*").alias("c"))
+            groups = groups.groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.max_by("comp", "c").alias("major"))
+            # after a round of pivots both members of a pair have met
+            open_ = stored(groups.where("m * m > q" if turn == 0 else "m * m > q and m > 2"), "open", rows)
+            pairs = open_.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0]
+            if pairs is None:
+                return found
+            last = turn == ROUNDS or (turn > 0 and pairs <= max(PAIRS, PAIRS_PER_ROW * rows))
+            labelled = stored(labelled.join(open_.select("h", "m", "major"), "h"), "labelled")
+            if last:  # all pairs of different components
+                new = open_pairs(labelled, sets, threshold).distinct()
+            else:  # each against one of the group that has little of its own, as originals of copies do; later ones lie outside of its largest component
+                order = F.struct((F.col("comp") == F.col("major")) if turn else F.lit(False), "own", F.xxhash64("fp", F.lit(turn)))
+                pivots = labelled.groupBy("h").agg(F.min_by(F.struct("fp", "n", "pos", "comp"), order).alias("p")).select("h", "p.*")
+                met = side(pivots, "a").join(side(labelled, "b"), "h").where((F.col("a_comp") != F.col("b_comp")) & possible(threshold))
+                new = met.select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b")).distinct()
+            new = stored(new.join(tried, ["a", "b"], "left_anti"), "pairs")
+            edges = stored(similar(new, texts, twins, size, threshold), "similar", rows)
+            found = edges if found is None else found.union(edges)
+            tried = tried.union(new)
+            if last:
+                return found
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD
 ) -> DataFrame:
     """(id, fp, component) per row: a hash of its set and the smallest id among all rows that links reach."""
-    sets = stored(shingle_sets(docs, id_col, text_col, docs.count(), size, threshold), "sets")
-    rows = sets.count()
-    edges = links(sets, docs.select(F.col(text_col).alias("text")), rows, size, threshold)
-    return connected(sets.select("id", "fp"), edges, rows)
+    with tidied(docs.sparkSession):
+        sets = shingle_sets(docs, id_col, text_col, docs.count(), size, threshold)
+        rows = sets.count()
+        edges = links(sets, docs.select(F.col(text_col).alias("text")), rows, size, threshold)
+        return connected(sets.select("id", "fp"), edges, rows)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row of each component, that of the smallest id, with all columns; see ``groups.one_of_each``."""
-    return one_of_each(docs, near_duplicates(docs, id_col, text_col, **how), id_col)
+    with tidied(docs.sparkSession):
+        return one_of_each(docs, near_duplicates(docs, id_col, text_col, **how), id_col)

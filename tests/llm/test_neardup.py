@@ -1,9 +1,11 @@
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from pagewarden.llm import neardup, simhash
+from pagewarden.llm import common, neardup, simhash
 
 
 def shingle_set(text, size=5):
@@ -142,3 +144,34 @@ def test_simhash_names_the_first_pairs(docs, monkeypatch):
     sets = [(neardup.set_of(neardup.shingles(t, neardup.Hasher(5))), simhash.fingerprint(t)) for _, t in rows]
     expected = {tuple(sorted((a, b))) for a, x in sets for b, y in sets if a != b and (x ^ y).bit_count() <= 3}
     assert expected and verified[0] <= expected and {x for p in verified[0] for x in p} == {x for p in expected for x in p}
+
+
+def test_what_a_round_needs_leaves_the_disk_with_it(spark, docs):
+    """Shuffle files used to stay until the driver collected its garbage, tables of every round until the end of the job."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    app, key = spark.sparkContext.applicationId, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows = docs(planted(6, 4))
+    before, start, was = shuffled(), len(common.WRITTEN[app]), spark.conf.get(key)
+    found = neardup.near_duplicates(rows)
+    until = time.time() + 10  # files are deleted in the background
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and spark.conf.get(key) == was
+    there = {p.name.rpartition("-")[0] for p in Path(common.shared_dir(spark).removeprefix("file://")).iterdir() if any(p.name in w for w in common.WRITTEN[app][start:])}
+    assert {"sets", "similar"} <= there and not there & {"arrays", "labelled", "open"}
+    left = {Path(w).name for w in common.WRITTEN[app]}
+    assert not [p for p in Path(common.shared_dir(spark).removeprefix("file://")).glob("arrays-*") if p.name not in left]
+    assert found.count() == rows.count()
+
+
+@pytest.mark.parametrize("most", [10, 28])
+def test_few_keys_make_a_small_bitmap(spark, monkeypatch, most):
+    """It used to have 2**28 bits for any number of keys."""
+    monkeypatch.setattr(common, "BITMAP", most)
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 700):
+        keys, others = rng.integers(-(1 << 63), 1 << 63, n), rng.integers(-(1 << 63), 1 << 63, 20_000)
+        bits = common.bitmap(spark.createDataFrame([(int(k),) for k in keys], "h long"))
+        assert 64 * len(bits) <= min(1 << most, max(64, 2 * common.BITS_PER_KEY * n)) and common.marked(keys, bits).all()
+        assert common.marked(others, bits).mean() <= (0.015 if most == 28 else 0.6)
