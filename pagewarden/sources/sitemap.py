@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from pagewarden.functions.arrow import once
 from pagewarden.plans.shared import stored
 
 # Bounds of a discovery and where sitemaps and feeds are looked for.
@@ -85,7 +86,7 @@ def parsed(body: Column, base: Column) -> Column:
     def one(bodies: pd.Series, bases: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse(b, u) for b, u in zip(bodies, bases)], columns=["kind", "items", "children"])
 
-    return pandas_udf(one, PARSED)(body, base)
+    return once(pandas_udf(one, PARSED))(body, base)
 
 
 def locations(robots: Column, base: Column) -> Column:
@@ -98,7 +99,7 @@ def locations(robots: Column, base: Column) -> Column:
 
         return pd.Series([found(t, u) for t, u in zip(texts, bases)], dtype=object)
 
-    return pandas_udf(one, "array<string>")(robots, base)
+    return once(pandas_udf(one, "array<string>"))(robots, base)
 
 
 def discover(bodies: DataFrame, origins: DataFrame, explicit: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -160,4 +161,4 @@ def allowed(url: Column, robots: Column, agent: str = "*") -> Column:
         return pd.Series([ask(u, t) for u, t in zip(urls_, texts)], dtype=bool)
 
     told = F.coalesce(F.trim(robots), F.lit("")) != ""
-    return pandas_udf(one, "boolean")(F.when(told, url), F.when(told, robots))  # null costs nothing
+    return once(pandas_udf(one, "boolean"))(F.when(told, url), F.when(told, robots))  # null costs nothing
