@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from pagewarden.functions.arrow import once
 from pagewarden.functions.domains import suspicion_of
 from pagewarden.functions.matching import Matcher
 from pagewarden.functions.urls import params_of, query
@@ -38,7 +39,7 @@ def params(matcher: Matcher, addresses: Column) -> Column:
 
         return urls.map(one)
 
-    return found(F.when(F.exists(addresses, lambda u: query(u) != ""), addresses))  # null costs nothing
+    return once(found)(F.when(F.exists(addresses, lambda u: query(u) != ""), addresses))  # null costs nothing
 
 
 def squeezed(text: Column) -> Column:
@@ -52,19 +53,31 @@ def reflected(params: Column, text: Column) -> Column:
     return F.filter(params, lambda p: p["bad"] & (F.length(squeezed(p["value"])) >= 2) & F.contains(content, squeezed(p["value"])))
 
 
-def _stripped(texts: pd.Series, values: pd.Series) -> pd.Series:
-    def one(text, vs):
-        if vs is None:
-            return None
-        for v in vs:
-            letters = re.sub(r"\s+", "", v).lower()
-            if letters:
-                text = re.sub(r"\s*".join(map(re.escape, letters)), " ", text, flags=re.IGNORECASE)
-        return text
+def _without(text: str, values) -> str | None:
+    if values is None:
+        return None
+    for v in values:
+        letters = re.sub(r"\s+", "", v).lower()
+        if letters:
+            text = re.sub(r"\s*".join(map(re.escape, letters)), " ", text, flags=re.IGNORECASE)
+    return text
+
 
-    return pd.Series([one(t or "", v) for t, v in zip(texts, values)], dtype=object)
+def _stripped(texts: pd.Series, values: pd.Series) -> pd.Series:
+    return pd.Series([_without(t or "", v) for t, v in zip(texts, values)], dtype=object)
 
 
 def stripped(text: Column, values: Column) -> Column:
     """The text without the values, however they are spaced; null for null values."""
-    return pandas_udf(_stripped, "string")(text, values)
+    return once(pandas_udf(_stripped, "string"))(text, values)
+
+
+def outside(matcher: Matcher, text: Column, values: Column) -> Column:
+    """struct(text, words): the stripped text, and how many dictionary words it holds."""
+
+    @pandas_udf("struct<text:string,words:int>")
+    def told(texts: pd.Series, values_: pd.Series) -> pd.DataFrame:
+        left = [_without(t or "", v) for t, v in zip(texts, values_)]
+        return pd.DataFrame({"text": pd.Series(left, dtype=object), "words": pd.Series([len(matcher.spans(t)) if t else 0 for t in left], dtype="int32")})
+
+    return once(told)(text, values)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from pagewarden.functions.arrow import once
 from pagewarden.functions.matching import Matcher
 from pagewarden.operators.evidence import EVIDENCE, POINTS, VOTES, Settings, enough, ev, gathered, labels, one, rated
 
@@ -51,7 +52,7 @@ def stats(matcher: Matcher, text: Column) -> Column:
         found = pd.DataFrame([stats_of(matcher, t) or empty for t in texts], columns=list(empty))
         return found.astype({"count": "Int32", "kinds": "Int32", "list_lines": "Int32", "density": "float64"})
 
-    return measured(text)
+    return once(measured)(text)
 
 
 def findings(pages: DataFrame, settings: Settings) -> DataFrame:

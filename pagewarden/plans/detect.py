@@ -82,7 +82,8 @@ def with_links_below(elements: DataFrame) -> DataFrame:
 def scored(elements: DataFrame, settings: Settings) -> DataFrame:
     """Elements with their evidence; those without any core evidence, or excused as prevention, are gone."""
     matcher, text = settings.matcher, F.col("content")
-    rows = elements.withColumn("hits", matching.hits(matcher, text))
+    in_frame = reflection.params(matcher, F.when(F.size("frame_path") > 0, F.array("frame_url")))
+    rows = elements.withColumns({"hits": matching.hits(matcher, text), "in_frame": in_frame})
     rows = rows.withColumn("foreign", F.filter("urls", lambda u: untrusted(u, settings)))
     named = F.transform("foreign", lambda u: F.struct(urls.host(u).alias("host"), domains.suspicion(urls.host(u)).alias("category")))
     rows = rows.withColumn("bad", F.get(F.filter(named, lambda x: x["category"].isNotNull()), F.lit(0)))
@@ -98,11 +99,9 @@ def scored(elements: DataFrame, settings: Settings) -> DataFrame:
     )
     rows = rows.where(~excused)
 
-    in_frame = reflection.params(matcher, F.when(F.size("frame_path") > 0, F.array("frame_url")))
-    rows = rows.withColumn("params", F.array_distinct(F.concat("page_params", in_frame)))
+    rows = rows.withColumn("params", F.array_distinct(F.concat("page_params", "in_frame")))
     rows = rows.withColumn("reflected", reflection.reflected(F.col("params"), text))
-    rows = rows.withColumn("outside", reflection.stripped(text, F.when(F.size("reflected") > 0, F.transform("reflected", lambda p: p["value"]))))
-    rows = rows.withColumn("outside_words", F.size(matching.spans(matcher, F.col("outside"))))
+    rows = rows.withColumn("outside", reflection.outside(matcher, text, F.when(F.size("reflected") > 0, F.transform("reflected", lambda p: p["value"]))))
 
     searched = F.when(widget != "", ev("search_list", F.concat(F.lit("사이트 검색어 목록("), widget, F.lit(")에 올라 있음")), POINTS["search_list"]))
     by_kind = F.coalesce(*[
@@ -130,8 +129,8 @@ def scored(elements: DataFrame, settings: Settings) -> DataFrame:
         (F.size("reflected") > 0)
         & F.forall("reflected", lambda p: urls.search_param(p["name"]))
         & ~has(before, "domain", "hidden", "redirect")
-        & (F.col("outside_words") == 0)
-        & contacts.contact(F.col("outside")).isNull()
+        & (F.col("outside.words") == 0)
+        & contacts.contact(F.col("outside.text")).isNull()
         & (F.size(F.array_distinct(F.flatten(F.transform("reflected", lambda p: p["words"])))) < 2)
         & ~F.exists("reflected", lambda p: contacts.contact(p["value"]).isNotNull())
     )
@@ -193,7 +192,7 @@ def redirect_findings(pages: DataFrame, settings: Settings) -> DataFrame:
 
 def with_stuffing(found: DataFrame, pages: DataFrame, settings: Settings) -> DataFrame:
     """Findings with those of stuffed pages; on such a page these take in visible findings of words alone."""
-    stuffed = stuffing.findings(pages, settings).withColumn("elem_ord", F.lit((1 << 20) + 1))
+    stuffed = stored(stuffing.findings(pages, settings).withColumn("elem_ord", F.lit((1 << 20) + 1)), "stuffed")
     absorbed = (F.col("pattern") == "visible") & only(F.col("evidence"), "keyword", "variant")
     marked = found.join(stuffed.select(*PLACE, F.lit(True).alias("_stuffed")), PLACE, "left")
     absorbed = F.coalesce("_stuffed", F.lit(False)) & absorbed
@@ -209,12 +208,12 @@ def with_stuffing(found: DataFrame, pages: DataFrame, settings: Settings) -> Dat
 
 def strongest_by_place(found: DataFrame) -> DataFrame:
     """Of the findings at one place the strongest, a link before others, then the first."""
-    key = [*PLACE, "frame_path", "selector"]
+    blank = F.col("selector") == ""
+    key = [*PLACE, "frame_path", "selector", F.when(blank, F.col("elem_ord"))]  # findings without a place stay, each by itself
     order = Window.partitionBy(*key).orderBy(F.desc("score"), F.desc(F.col("type") == "link"), "elem_ord")
     first = F.min("elem_ord").over(Window.partitionBy(*key))
-    blank = found.where("selector = ''").withColumn("ord", F.col("elem_ord"))
-    placed = found.where("selector <> ''").withColumn("_k", F.row_number().over(order)).withColumn("ord", first)
-    return placed.where("_k = 1").drop("_k").unionByName(blank)
+    ranked = found.where("selector is not null").withColumns({"_k": F.row_number().over(order), "ord": first})
+    return ranked.where(blank | (F.col("_k") == 1)).drop("_k")
 
 
 def without_descendants(found: DataFrame) -> DataFrame:
@@ -237,7 +236,7 @@ def page_findings(crawls: DataFrame | None, settings: Settings | None = None, pa
     bounded_batches((pages if crawls is None else crawls).sparkSession)
     pages = stored(prepared_pages(crawl.pages(crawls) if pages is None else pages, settings), "pages")
     found = element_findings(with_links_below(page_elements(pages)), settings).unionByName(redirect_findings(pages, settings))
-    found = with_stuffing(found, pages, settings)
+    found = with_stuffing(stored(found, "scored"), pages, settings)
     found = found.unionByName(shaped(cloaking.findings(pages, settings)))
     return without_descendants(strongest_by_place(stored(found, "findings")))
 
